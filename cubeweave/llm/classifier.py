@@ -14,13 +14,15 @@ from cubeweave.llm._shingles import mixed, word_hashes
 from cubeweave.llm.tokens import slices
 
 #: Hashed features, as a power of two.
-BITS = 18
+BITS = 20
 #: Labelled documents that training takes at most: those of the lowest hash of their id.
 TRAINING_DOCS = 12_000
-EPOCHS, BATCH, RATE, RIDGE = 14, 64, 0.15, 1e-5
+EPOCHS, BATCH, RATE, RIDGE = 14, 64, 0.15, 1e-4
+#: A feature is learnt if so many training documents have it; a word of one or two documents only fits their noise.
+LEAST_DOCS = 20
 GRADES = 3
 #: A document is kept if the probability of the top grade reaches this.
-LEAST_TAIL = 0.5
+LEAST_TAIL = 0.6
 
 _TAIL = np.uint64(0x51ED270B9F2A6E3D)
 
@@ -103,6 +105,7 @@ def fit(texts: list[bytes], grades: np.ndarray, n_grades: int = GRADES, bits: in
     sizes = np.concatenate([np.diff(p[0]) for p in parts])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     cols, values = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    values = np.where(np.bincount(cols, minlength=1 << bits)[cols] >= LEAST_DOCS, values, np.float32(0))
     times = np.bincount(grades, minlength=n_grades)
     rarity = np.sqrt(len(grades) / np.maximum(times, 1) / n_grades)
     seen, seen_gaps = np.full(1 << bits, 1e-6), np.full(n_grades - 1, 1e-6)
