@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -36,6 +37,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level BPE writes each byte: printable ones as they are, the others from code point 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
+#: Marks, letters, marks: no digits, and no apostrophe, which may begin a contraction.
+SIMPLE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: What special tokens begin with.
+OPENING = "<|"
+
 #: Above every rank: a merge that doesn't exist.
 NEVER = 1 << 60
 
@@ -66,9 +75,7 @@ class PrefixProgramme:
             self.starts[bare] = self.starts.get(bare, 0) | (1 if bare == t else 2)
         self.apart: dict[tuple[str, str], bool] = {}
         self.spines: dict[str, tuple | None] = {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.shown = {b: chr(c) for b, c in SHOWN.items()}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left."""
@@ -193,14 +200,41 @@ class WordTable:
         self.mark = min(specials)
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.openings = tuple({s[:2] for s in specials})
+        self.has_simple = self.openings == (OPENING,)
         self.openings_b = tuple(o.encode() for o in self.openings)
         # The splitter's own pattern, read from the file.
         with open(path, encoding="utf-8") as f:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
+        self.marks: dict[str, list[int]] = {"": []}
         self.programme: PrefixProgramme | None = None
         self.piece_counts: dict[str, list[int] | None] = {}
 
+    def word_ids(self, words: list[str]) -> list[list[int] | np.ndarray]:
+        """Ids of each word.
+
+        Most words are letters of Latin-1 between ASCII marks.  The normaliser only
+        puts these in lower case and the splitter cuts just there, so their pieces
+        go straight to the model; all other words go through the whole tokenizer.
+        """
+        found: list = [None] * len(words)
+        tokenize, marks, rest = self.tokenizer.model.tokenize, self.marks, []
+        for k, w in enumerate(words):
+            m = SIMPLE(w.lower()) if self.has_simple and OPENING not in w else None
+            if m is None:
+                rest.append(k)
+                continue
+            before, letters, after = m.groups()
+            for x in (before, after):
+                if x not in marks:
+                    marks[x] = [t.id for t in tokenize(x)]
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(SHOWN)
+            found[k] = marks[before] + [t.id for t in tokenize(letters)] + marks[after]
+        for k, ids in zip(rest, self.encode([words[k] for k in rest]), strict=True):
+            found[k] = ids
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text.  Short texts go to the library many at once, parted by a special token."""
         if not texts:
@@ -237,8 +271,9 @@ class WordTable:
         if len(self.ids) + len(wanted) > WORDS_KEPT:
             self.ids.clear()
         lacking = list(wanted.difference(self.ids))
-        for w, ids in zip(lacking, self.encode([w.decode() for w in lacking]), strict=True):
-            self.ids[w] = ids.tobytes()
+        kind = self.dtype.char
+        for w, ids in zip(lacking, self.word_ids([w.decode() for w in lacking]), strict=True):
+            self.ids[w] = array(kind, ids).tobytes()
 
     def joined(self, words: list[bytes]) -> bytes:
         """The ids of a text, given its words, as bytes."""
@@ -260,7 +295,7 @@ class WordTable:
             self.steps.clear()
         lacking = list(wanted.difference(self.steps))
         texts = [w.decode() for w in lacking]
-        for w, t, ids in zip(lacking, texts, self.encode(texts), strict=True):
+        for w, t, ids in zip(lacking, texts, self.word_ids(texts), strict=True):
             counts = self.word_counts(t)
             if counts is None or counts[-1] != len(ids):
                 counts = [len(i) for i in self.encode([t[:j] for j in range(1, len(t) + 1)])]
