@@ -25,7 +25,7 @@ BANDS, ROWS = 10, 3
 #: Document frequencies are counted in 2**SKETCH_BITS cells, in parts of PART cells.
 SKETCH_BITS, PART = 20, 1 << 14
 #: A shingle's weight is its count times 1 + IDF * (1 - ln(df) / ln(documents)).
-IDF = 0.25
+IDF = 0.1
 TABLE_BITS = 16
 
 
