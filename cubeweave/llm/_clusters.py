@@ -1,4 +1,4 @@
-"""Classes from candidate buckets: pivots, verified pairs and distributed union-find.
+"""Classes from candidate buckets: pivots, verified links and distributed union-find.
 
 DataFrame functions only; what verifies pairs is the caller's.
 """
@@ -7,15 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.llm._scratch import materialise
 
-#: In round k, a bucket that is still open takes PIVOT_GROWTH**k pivots.
-PIVOT_GROWTH = 4
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
     return tuple(row)
@@ -48,48 +44,41 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of the verified links among nodes that share a bucket.
 
-    ``buckets`` holds distinct (key, node); ``verify`` takes distinct pairs (u, v)
-    and returns those that are links.  Returns (node, comp), for nodes that have a
-    link.  ``candidates``, if given, first gets the distinct nodes of all buckets
-    of two nodes or more.
-
-    All pairs of a bucket count, without making them all: pairs inside one
-    component need no test.  A round picks pivots in each open bucket, of its
-    smallest components first, and tests them against the bucket's nodes of other
-    components; then components are taken anew.  A bucket is closed once its nodes
-    that were no pivot yet lie in one component, for then every other pair has
-    been tested or needs no test.  Nodes alike meet in one component at once, so
-    nearly all buckets close in the first round; the pivots grow by
-    PIVOT_GROWTH a round, so any bucket closes.
+    ``buckets`` holds distinct (key, node).  ``verify`` takes distinct pairs (u, v)
+    and returns those that are links.  ``candidates``, if given, first gets the
+    distinct nodes of all buckets of two nodes or more.  Returns (node, comp), for
+    nodes that have a link.
+
+    All pairs of a bucket count, without making them all.  First each bucket's
+    nodes are tested against one pivot: the node with the most company in all its
+    buckets, which tends to be what the others are copies of.  Pairs inside one
+    component need no test, so only buckets that still hold several components
+    go on: ``finish`` gets their (key, node, comp, group, size), where ``group`` is
+    the component of buckets that overlap and ``size`` its nodes, and returns
+    links (u, v) that make all remaining components.
     """
-    sizes = buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    members = materialise(buckets.join(sizes, F.col("key") == F.col("k")).select("key", "node", "first"), f"{label}-members")
+    sizes = buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(buckets.join(sizes, F.col("key") == F.col("k")).select("key", "node", "n"), f"{label}-members")
+    company = members.groupBy(F.col("node").alias("c_node")).agg(F.sum("n").alias("company"))
     if candidates is not None:
         candidates(members.select("node").distinct())
-    pairs = members.where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    edges = verify(pairs)
+    ranked = members.join(company, F.col("node") == F.col("c_node")).select("key", "node", "company")
+    pivots = ranked.groupBy(F.col("key").alias("p_key")).agg(F.max(F.struct("company", "node")).alias("p")).select("p_key", F.col("p.node").alias("pivot"))
+    met = members.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("node") != F.col("pivot")))
+    edges = verify(met.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
     comp = materialise(components(edges, label), f"{label}-comp")
-    rest = materialise(members.where(F.col("node") != F.col("first")).select("key", "node"), f"{label}-rest")
-    pivots = PIVOT_GROWTH
-    while True:
-        known = comp.select(F.col("node").alias("c_node"), "comp")
-        placed = rest.join(known, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        spread = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("k")
-        left = materialise(placed.join(spread, F.col("key") == F.col("k"), "left_semi"), f"{label}-open")
-        if left.isEmpty():
-            return comp
-        by_size = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        ranked = left.join(by_size.select(F.col("key").alias("s_key"), F.col("comp").alias("s_comp"), "size"), (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
-        order = Window.partitionBy("key").orderBy("size", "comp", "node")
-        chosen = materialise(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select(F.col("key").alias("p_key"), F.col("node").alias("pivot"), F.col("comp").alias("p_comp")), f"{label}-pivots")
-        met = left.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("comp") != F.col("p_comp")))
-        tests = met.select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
-        found = verify(tests)
-        comp = materialise(components(found.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), label), f"{label}-comp")
-        rest = materialise(left.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("node") == F.col("pivot")), "left_anti").select("key", "node"), f"{label}-rest")
-        pivots *= PIVOT_GROWTH
-
-
+    known = comp.select(F.col("node").alias("c_node"), "comp")
+    placed = members.join(known, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    spread = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("k", "first")
+    left = materialise(placed.join(spread, F.col("key") == F.col("k")).select("key", "node", "comp", "first"), f"{label}-open")
+    if left.isEmpty():
+        return comp
+    groups = components(left.select(F.col("first").alias("u"), F.col("node").alias("v")), f"{label}-group").select(F.col("node").alias("g_node"), F.col("comp").alias("group"))
+    counted = groups.groupBy(F.col("group").alias("s_group")).agg(F.count(F.lit(1)).alias("size"))
+    whole = groups.join(counted, F.col("group") == F.col("s_group")).select("g_node", "group", "size")
+    rest = materialise(left.join(whole, F.col("node") == F.col("g_node")).select("key", "node", "comp", "group", "size"), f"{label}-rest")
+    more = finish(rest)
+    return materialise(components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), label), f"{label}-comp")

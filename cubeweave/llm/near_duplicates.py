@@ -27,6 +27,12 @@ SKETCH_BITS, PART = 20, 1 << 14
 #: A shingle's weight is its count times 1 + IDF * (1 - ln(df) / ln(documents)).
 IDF = 0.1
 TABLE_BITS = 16
+#: Groups of candidates beyond the pivots are compared in blocks of about so many documents and compressed bytes.
+BLOCK_DOCS, BLOCK_BYTES = 384, 4_000_000
+#: A group of up to so many documents is compared as a whole, a larger one bucket by bucket.
+WHOLE_GROUP = 6_000
+#: Columns of a block's matrix at once.
+MATRIX_COLUMNS = 4096
 
 
 @cache
@@ -197,7 +203,20 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
             both = pairs.join(second, F.col("v") == F.col("b_node")).join(first, F.col("u") == F.col("a_node")).select("u", "v", "a_text", "b_text")
             return materialise(both.mapInArrow(linker(weigh, similarity), "u binary, v binary"), "links")
 
-        found = materialise(classes(buckets, verify, "near", fetch), "near-classes")
+        def finish(rest: DataFrame) -> DataFrame:
+            """Compare the groups in pairs of blocks; a task returns no more links than it has documents."""
+            as_group = F.when(F.col("size") <= WHOLE_GROUP, F.xxhash64("group")).otherwise(F.col("key"))
+            held = rest.select(as_group.alias("g"), "node", "comp").distinct()
+            sized = held.join(kept[0].select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node")).select("g", "node", "comp", "bytes")
+            blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+            own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+            dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt = dealt.select("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "comp")
+            texts = kept[0].select(F.col("node").alias("t_node"), "text")
+            full = dealt.join(texts, F.col("node") == F.col("t_node")).select("g", "a", "b", "node", "comp", "text")
+            return materialise(full.groupBy("g", "a", "b").applyInArrow(block_linker(weigh, similarity), "u binary, v binary"), "block-links")
+
+        found = materialise(classes(buckets, verify, finish, "near", fetch), "near-classes")
         known = found.select(F.col("node").alias("c_node"), "comp")
         nulls = rows.where("text IS NULL").select("id", "node")
         placed = signed.select("id", "node").join(known, F.col("node") == F.col("c_node"), "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
@@ -253,6 +272,46 @@ def linker(weigh, similarity: float):
     return run
 
 
+def block_linker(weigh, similarity: float):
+    """Links among the documents of one pair of blocks that join components, by exact weighted Jaccard similarity."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor()
+        nodes, comps = table.column("node").to_pylist(), table.column("comp").to_pylist()
+        hashes, counts, bounds = shingle_counts([opener.decompress(t.as_py()) for t in table.column("text")])
+        n = len(nodes)
+        # A shingle that occurs k times is k columns, so the sum of lesser weights is a product of zero-one rows.
+        row = np.repeat(np.repeat(np.arange(n), np.diff(bounds)), counts)
+        copy = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        name = np.repeat(hashes, counts) * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64)
+        weight = np.repeat(weigh.value(hashes, np.ones(len(hashes), np.int64)), counts).astype(np.float64)
+        total = np.bincount(row, weight, n)
+        _, column, times = np.unique(name, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column, weight = row[shared], np.unique(column[shared], return_inverse=True)[1], weight[shared]
+        common = np.zeros((n, n), np.float32)
+        for a in range(0, int(column.max()) + 1 if len(column) else 0, MATRIX_COLUMNS):
+            own = (column >= a) & (column < a + MATRIX_COLUMNS)
+            part = np.zeros((n, min(MATRIX_COLUMNS, int(column.max()) + 1 - a)), np.float32)
+            part[row[own], column[own] - a] = np.sqrt(weight[own])
+            common += part @ part.T
+        close = common >= similarity * (total[:, None] + total[None, :] - common) * (1 - 1e-6)
+        at = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+        label = np.array([at[c] for c in comps])
+        us, vs = [], []
+        for i in range(n):
+            for j in np.flatnonzero(close[i] & (label != label[i])).tolist():
+                if label[j] != label[i]:
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, less all but one of each near-duplicate class: the one of the least id.
 

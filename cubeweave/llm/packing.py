@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeweave.llm._scratch import materialise, released_shuffles
-from cubeweave.llm.tokens import VOCABULARY, slices, table, vocabulary_path
+from cubeweave.llm.tokens import VOCABULARY, WORD_SLICE_BYTES, slices, table, vocabulary_path
 
 SEQUENCE_TOKENS = 2048
 #: Closes each document.
@@ -51,7 +51,7 @@ def pack(docs: DataFrame, longest: int = SEQUENCE_TOKENS, vocabulary: str = VOCA
         known = table(path_of(vocabulary))
         part, seen = TaskContext.get().partitionId(), np.zeros(longest + 1, np.int64)
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, size=WORD_SLICE_BYTES):
                 lists = [known.words(t) for t in texts]
                 known.learn(lists)
                 rows, start, length, crc, total, nth, held = [], [], [], [], [], [], []

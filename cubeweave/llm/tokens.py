@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that one Python worker keeps at most; beyond it the table starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_200_000
 #: Documents of one batch are handled in slices of about so many bytes.
 SLICE_BYTES = 4_000_000
+#: The same where words are looked up: more text holds more words alike.
+WORD_SLICE_BYTES = 8_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -63,123 +65,128 @@ class PrefixProgramme:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.vocab = frozenset(model["vocab"])
         pairs = (tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.rank = {m: r for r, m in enumerate(pairs)}
-        # What a token can begin with: 1 a token without the word end, 2 one with it, 0 only more of one.
-        self.starts: dict[str, int] = {}
-        for t in self.vocab:
-            bare = t.removesuffix(self.end) if len(t) > len(self.end) else t
-            for j in range(1, len(bare)):
-                self.starts.setdefault(bare[:j], 0)
-            self.starts[bare] = self.starts.get(bare, 0) | (1 if bare == t else 2)
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.spines: dict[str, tuple | None] = {}
         self.shown = {b: chr(c) for b, c in SHOWN.items()}
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left."""
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: self.rank.get(p, NEVER))
-            if best not in self.rank:
+        # Number 0 is the beginning of a piece, which any token may follow.
+        self.edges: list[tuple[tuple, tuple]] = [((), ())]
+        # By what a token can begin with: the numbers of the token without the word end and of the one with it, or -1.
+        self.starts: dict[str, tuple[int, int]] = {}
+        for token in model["vocab"]:
+            edges = self.edges_of(token)
+            if edges is None:
+                continue
+            bare = token.removesuffix(self.end) if len(token) > len(self.end) else token
+            for j in range(1, len(bare)):
+                self.starts.setdefault(bare[:j], (-1, -1))
+            inner, ended = self.starts.get(bare, (-1, -1))
+            self.starts[bare] = (len(self.edges), ended) if bare == token else (inner, len(self.edges))
+            self.edges.append(edges)
+        # By token: whether each other may follow it.
+        self.follows: list[dict[int, bool]] = [{} for _ in self.edges]
+        self.follows[0] = dict.fromkeys(range(len(self.edges)), True)
+        self.known = 0
+        self.last: tuple[str, list[int], list[int], list[int]] = ("", [0], [0], [0])
+
+    def merged(self, symbols: list[str]) -> list[tuple[str, ...]]:
+        """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left; each token with the halves of its last merge."""
+        parts: list[tuple] = [(s,) for s in symbols]
+        while len(parts) > 1:
+            ranks = [self.rank.get((x[0], y[0]), NEVER) for x, y in zip(parts, parts[1:])]
+            low = min(ranks)
+            if low == NEVER:
                 break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def symbols(self, token: str) -> list[str]:
-        bare = token.removesuffix(self.end) if self.end and len(token) > len(self.end) else token
-        return [*bare[:-1], bare[-1] + token[len(bare) :]]
-
-    def edges(self, token: str) -> tuple[tuple, tuple] | None:
+            i = ranks.index(low)
+            x, y = parts[i], parts[i + 1]
+            parts[i : i + 2] = [(x[0] + y[0], x, y)]
+        return parts
+
+    def edges_of(self, token: str) -> tuple[tuple, tuple] | None:
         """The parts at a token's right edge and at its left edge, as BPE builds it, each with the rank of the merge that ends it.
 
         None if the vocabulary entry isn't its own encoding: it then stands in no encoding.
         """
-        if token in self.spines:
-            return self.spines[token]
-        known = None
-        if self.merged(self.symbols(token)) == [token]:
-            right, left = [(token, NEVER)], [(token, NEVER)]
-            for spine, side in ((right, 1), (left, 0)):
-                while len(self.symbols(spine[-1][0])) > 1:
-                    halves = self.halves(spine[-1][0])
-                    spine.append((halves[side], self.rank[halves]))
-            known = tuple(right[::-1]), tuple(left[::-1])
-        self.spines[token] = known
-        return known
-
-    def halves(self, token: str) -> tuple[str, str]:
-        """The two parts that the last merge of a token joins."""
-        symbols = self.symbols(token)
-        while len(symbols) > 2:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: self.rank.get(p, NEVER))
-            i = next(i for i in range(len(symbols) - 1) if (symbols[i], symbols[i + 1]) == best)
-            symbols[i : i + 2] = [best[0] + best[1]]
-        return symbols[0], symbols[1]
-
-    def follows(self, before: str, token: str) -> bool:
+        bare = token.removesuffix(self.end) if len(token) > len(self.end) else token
+        parts = self.merged([*bare[:-1], bare[-1] + token[len(bare) :]])
+        if len(parts) > 1:
+            return None
+        spines = []
+        for side in (2, 1):
+            part, spine = parts[0], [(token, NEVER)]
+            while len(part) > 1:
+                rank = self.rank[part[1][0], part[2][0]]
+                part = part[side]
+                spine.append((part[0], rank))
+            spines.append(tuple(spine[::-1]))
+        return spines[0], spines[1]
+
+    def may_follow(self, before: int, token: int) -> bool:
         """Whether BPE keeps these two tokens apart, side by side.
 
         At their boundary stand a part of each, which grows by the merges inside
         its token.  They become one only if the merge of two such parts comes
         before both of the merges that would end these parts.
         """
-        key = (before, token)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            right, left = self.spines[before][0], self.spines[token][1]
-            rank, i, j, known = self.rank, 0, 0, True
-            while True:
-                (x, ends_x), (y, ends_y) = right[i], left[j]
-                joins = rank.get((x, y), NEVER)
-                if joins < ends_x and joins <= ends_y and joins < NEVER:
-                    known = False
-                    break
-                if ends_x == ends_y == NEVER:
-                    break
-                if ends_x <= ends_y:
-                    i += 1
-                else:
-                    j += 1
-            self.apart[key] = known
-        return known
+        right, left, rank, i, j, apart = self.edges[before][0], self.edges[token][1], self.rank, 0, 0, True
+        while True:
+            (x, ends_x), (y, ends_y) = right[i], left[j]
+            joins = rank.get((x, y), NEVER)
+            if joins < ends_x and joins <= ends_y and joins < NEVER:
+                apart = False
+                break
+            if ends_x == ends_y == NEVER:
+                break
+            if ends_x <= ends_y:
+                i += 1
+            else:
+                j += 1
+        self.known += 1
+        if self.known > 1_500_000:
+            self.known = 0
+            for row in self.follows[1:]:
+                row.clear()
+        self.follows[before][token] = apart
+        return apart
 
     def counts(self, piece: str) -> list[int] | None:
         """Counts at the prefixes of 1, 2, ... characters; None where the programme finds no last token."""
-        text = "".join([self.shown[b] for b in piece.encode()])
-        n, starts, end, follows, edges = len(text), self.starts, self.end, self.follows, self.edges
-        inner: list = [None] * (n + 1)
-        d, ended = [0] * (n + 1), [0] * (n + 1)
+        ascii_ = piece.isascii()
+        text = piece if ascii_ else "".join([self.shown[b] for b in piece.encode()])
+        n, starts, follows, may_follow = len(text), self.starts.get, self.follows, self.may_follow
+        # What the piece before this one has in common with it needs no second look; in sorted order that is much.
+        last, inner, d, ended = self.last
+        same, most = 0, min(n, len(last))
+        while same < most and text[same] == last[same]:
+            same += 1
+        more = n - same
+        inner, d, ended = inner[: same + 1] + [-1] * more, d[: same + 1] + [0] * more, ended[: same + 1] + [0] * more
+        self.last = text, inner, d, ended
         for k in range(n):
-            before, one_more = inner[k], d[k] + 1
-            if before is None and k:
+            before = inner[k]
+            if before < 0:
                 continue
-            for i in range(k + 1, n + 1):
-                token = text[k:i]
-                kind = starts.get(token)
-                if kind is None:
+            after, one_more = follows[before].get, d[k] + 1
+            for i in range((k if k > same else same) + 1, n + 1):
+                found = starts(text[k:i])
+                if found is None:
                     break
-                if kind & 1 and inner[i] is None and edges(token) and (not k or follows(before, token)):
-                    inner[i], d[i] = token, one_more
-                if kind & 2 and not ended[i]:
-                    token += end
-                    if edges(token) and (not k or follows(before, token)):
+                a, b = found
+                if a > 0 and inner[i] < 0:
+                    apart = after(a)
+                    if may_follow(before, a) if apart is None else apart:
+                        inner[i], d[i] = a, one_more
+                if b > 0 and not ended[i]:
+                    apart = after(b)
+                    if may_follow(before, b) if apart is None else apart:
                         ended[i] = one_more
-        at, out = 0, []
-        for c in piece:
-            at += 1 if c < "\x80" else len(c.encode())
-            out.append(ended[at])
-        return out if all(out) else None
+        if ascii_:
+            out = ended[1:]
+        else:
+            at, out = 0, []
+            for c in piece:
+                at += len(c.encode())
+                out.append(ended[at])
+        return None if 0 in out else out
 
 
 class WordTable:
@@ -293,7 +300,7 @@ class WordTable:
         wanted = set().union(*lists)
         if len(self.steps) + len(wanted) > WORDS_KEPT:
             self.steps.clear()
-        lacking = list(wanted.difference(self.steps))
+        lacking = sorted(wanted.difference(self.steps))
         texts = [w.decode() for w in lacking]
         for w, t, ids in zip(lacking, texts, self.word_ids(texts), strict=True):
             counts = self.word_counts(t)
@@ -303,12 +310,18 @@ class WordTable:
 
     def word_counts(self, word: str) -> list[int] | None:
         low = word.lower()
-        if not low.isascii() and (len(low) != len(word) or unicodedata.normalize("NFC", word) != word):
-            return None
-        if any(o in word for o in self.openings):
+        m = SIMPLE(low) if self.has_simple and OPENING not in word else None
+        if m is not None:
+            before, letters, after = m.groups()
+            if not before and not after:
+                return self.programme.counts(letters)
+            pieces = [x for x in (before, letters, after) if x]
+        elif not low.isascii() and (len(low) != len(word) or unicodedata.normalize("NFC", word) != word) or any(o in word for o in self.openings):
             return None
+        else:
+            pieces = self.pieces.findall(low)
         out: list[int] = []
-        for piece in self.pieces.findall(low):
+        for piece in pieces:
             counts = self.piece_counts.get(piece, 0)
             if counts == 0:
                 if len(self.piece_counts) > WORDS_KEPT // 4:
@@ -316,8 +329,8 @@ class WordTable:
                 counts = self.piece_counts[piece] = self.programme.counts(piece)
             if counts is None:
                 return None
-            before = out[-1] if out else 0
-            out += [before + c for c in counts]
+            before_ = out[-1] if out else 0
+            out += [before_ + c for c in counts] if before_ else counts
         return out if len(out) == len(word) else None
 
 
@@ -331,14 +344,14 @@ def table(path: str) -> WordTable:
     return _TABLES[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
-    """Parts of a column of texts as bytes, of about SLICE_BYTES each, with their first row; a null is an empty text."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Parts of a column of texts as bytes, of about ``size`` bytes each, with their first row; a null is an empty text."""
     start, held, total = 0, [], 0
     for i, value in enumerate(batch.column(column)):
         text = value.as_py() or b""
         held.append(text)
         total += len(text)
-        if total >= SLICE_BYTES:
+        if total >= size:
             yield start, held
             start, held, total = i + 1, [], 0
     if held:
@@ -400,7 +413,7 @@ def prefix_counts(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table(path_of(vocabulary))
         for batch in batches:
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, size=WORD_SLICE_BYTES):
                 lists = [known.words(t) for t in texts]
                 known.learn_steps(lists)
                 every = [prefix_steps(t, w, known) for t, w in zip(texts, lists, strict=True)]
