@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeweave.llm._clusters import classes
+from cubeweave.llm._clusters import classes, components
 from cubeweave.llm._scratch import materialise, released_shuffles
 
 #: Characters of a shingle, and the least share of shingles that two lines must have in common.
@@ -17,6 +17,10 @@ SHINGLE_CHARS, SIMILARITY = 8, 0.8
 LEAST_WORDS = 5
 #: At a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**6 < 0.0022.
 BANDS, ROWS = 6, 2
+#: Lines beyond the pivots are compared in blocks of about so many lines and characters.
+BLOCK_LINES, BLOCK_CHARS = 64, 200_000
+#: A group of up to so many lines is compared as a whole, a larger one bucket by bucket.
+WHOLE_GROUP = 6_000
 SPACES = "[ \\t-\\r]+"
 #: Scripts that write without spaces: each character begins a shingle of its own.
 UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
@@ -90,6 +94,41 @@ def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return counted.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("u", "v")
 
 
+def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that make all components of (key, node, comp, group, size), found in pairs of blocks.
+
+    In a round each line of a block looks for one line of another component in the
+    other block; components are then taken anew, until no line finds one.  So a
+    pair of blocks returns no more links than it has lines.
+    """
+    as_group = F.when(F.col("size") <= WHOLE_GROUP, F.xxhash64("group")).otherwise(F.col("key"))
+    held = rest.select(as_group.alias("g"), "node", "comp").distinct()
+    sized = held.join(texts.select(F.col("node").alias("t_node"), "line"), F.col("node") == F.col("t_node"))
+    blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.char_length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = materialise(dealt.select("g", "node", "comp", "own", "blocks", shingles(F.col("line")).alias("set")), "line-sets")
+    found: DataFrame | None = None
+    while True:
+        spread = dealt.groupBy(F.col("g").alias("o_g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        open_ = dealt.join(spread, F.col("g") == F.col("o_g"), "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = open_.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "comp", "own", "set")).alias("ms"))
+
+        def near(x: Column, y: Column) -> Column:
+            n = F.size(F.array_intersect(x["set"], y["set"]))
+            return (x["comp"] != y["comp"]) & (n >= similarity * (F.size(x["set"]) + F.size(y["set"]) - n))
+
+        def partner(x: Column) -> Column:
+            others = F.filter("ms", lambda y: ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & near(x, y))
+            return F.struct(x["node"].alias("u"), F.get(F.transform(others, lambda y: y["node"]), F.lit(0)).alias("v"))
+
+        links_ = materialise(pairs.select(F.inline(F.transform("ms", partner))).where("v IS NOT NULL").distinct(), "line-block-links")
+        if links_.isEmpty():
+            return found if found is not None else links_
+        found = links_ if found is None else materialise(found.unionByName(links_), "line-block-all")
+        now = components(found.unionByName(dealt.select(F.col("node").alias("u"), F.col("comp").alias("v")).distinct()), "line-block").select(F.col("node").alias("n_node"), F.col("comp").alias("n_comp"))
+        dealt = materialise(dealt.join(now, F.col("node") == F.col("n_node"), "left").select("g", "node", F.coalesce("n_comp", "comp").alias("comp"), "own", "blocks", "set"), "line-sets")
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove from all texts the lines that near-copy an earlier one.
 
@@ -128,7 +167,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         def verify(pairs: DataFrame) -> DataFrame:
             return materialise(links(pairs, kept[0], similarity), "line-links")
 
-        found = classes(buckets, verify, "line", fetch)
+        found = classes(buckets, verify, lambda rest: block_links(rest, kept[0], similarity), "line", fetch)
         known = found.select(F.col("node").alias("c_node"), "comp")
         placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
         firsts = placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
