@@ -55,8 +55,8 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     All pairs of a bucket count, without making them all.  First each bucket's
     nodes are tested against one pivot: the node with the most company in all its
     buckets, which tends to be what the others are copies of.  Pairs inside one
-    component need no test, so only buckets that still hold several components
-    go on: ``finish`` gets their (key, node, comp, group, size), where ``group`` is
+    component need no test, so only buckets whose other nodes are of several
+    components go on: ``finish`` gets their (key, node, comp, group, size), where ``group`` is
     the component of buckets that overlap and ``size`` its nodes, and returns
     links (u, v) that make all remaining components.
     """
@@ -67,11 +67,13 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
         candidates(members.select("node").distinct())
     ranked = members.join(company, F.col("node") == F.col("c_node")).select("key", "node", "company")
     pivots = ranked.groupBy(F.col("key").alias("p_key")).agg(F.max(F.struct("company", "node")).alias("p")).select("p_key", F.col("p.node").alias("pivot"))
-    met = members.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("node") != F.col("pivot")))
+    met = materialise(members.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("node") != F.col("pivot"))).select("key", "node", "pivot"), f"{label}-met")
     edges = verify(met.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
     comp = materialise(components(edges, label), f"{label}-comp")
     known = comp.select(F.col("node").alias("c_node"), "comp")
-    placed = members.join(known, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    # A pivot has met all of its bucket; what is left to test is among the others.
+    others = met.select("key", "node")
+    placed = others.join(known, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     spread = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("k", "first")
     left = materialise(placed.join(spread, F.col("key") == F.col("k")).select("key", "node", "comp", "first"), f"{label}-open")
     if left.isEmpty():

@@ -17,11 +17,13 @@ SHINGLE_CHARS, SIMILARITY = 8, 0.8
 LEAST_WORDS = 5
 #: At a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**6 < 0.0022.
 BANDS, ROWS = 6, 2
+#: Candidates that agree in fewer of the 12 samples are no links; at a similarity of 0.8 that errs with probability 0.0006.
+LEAST_AGREEING = 5
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
 BLOCK_LINES, BLOCK_CHARS = 64, 200_000
 #: A group of up to so many lines is compared as a whole, a larger one bucket by bucket.
 WHOLE_GROUP = 6_000
-SPACES = "[ \\t-\\r]+"
+SPACES = " \t\n\x0b\x0c\r"
 #: Scripts that write without spaces: each character begins a shingle of its own.
 UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
 
@@ -40,9 +42,9 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
 
 
-def words_of(line: Column) -> Column:
-    spaced = F.when(F.octet_length(line) > 1.3 * F.char_length(line), F.regexp_replace(line, UNSPACED, " $1")).otherwise(line)
-    return F.split(F.btrim(spaced, F.lit(" \t\n\x0b\x0c\r")), SPACES)
+def spaced(line: Column) -> Column:
+    """The line, with a space before each character of the scripts that write none."""
+    return F.when(F.octet_length(line) > 1.3 * F.char_length(line), F.regexp_replace(line, UNSPACED, " $1")).otherwise(line)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -51,26 +53,45 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def long_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """Lines of at least ``least_words`` words, with their words; ``node`` is a 64-bit hash of the trimmed line."""
-    # A line of n words has 2 n - 1 characters at least: short ones need no split.
-    some = lines(docs).where(F.char_length("line") >= 2 * least_words - 1)
-    return some.withColumn("words", words_of(F.col("line"))).where(F.size("words") >= least_words).withColumn("node", F.xxhash64(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))))
+    """Lines of at least ``least_words`` words, parted by spaces; ``node`` is a 64-bit hash of the trimmed line."""
+    # A line of n words has 2 n - 1 bytes at least: short ones need no look.
+    some = lines(docs).where(F.octet_length("line") >= 2 * least_words - 1)
+    trimmed = some.select("id", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("line"))
+    parted = trimmed.withColumn("spaced", spaced(F.col("line")))
+    spaces = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit("")))
+    return parted.where(spaces >= least_words - 1).withColumn("node", F.xxhash64("line"))
 
 
 def signatures(docs: DataFrame, least_words: int) -> DataFrame:
-    """Per distinct line: node and the keys of its bands.
+    """Per distinct line: node, the keys of its bands, and its samples' low bytes in two numbers.
 
     A line's shingles of SHINGLE_CHARS characters that begin at a word stand for
     all of its shingles here.  One hash of each and a constant per sample give the
     sample's order (exclusive or of the two); the least is the sample.
     """
-    each = long_lines(docs, least_words).select("node", "words", F.posexplode("words").alias("at", "word"))
-    # Four words and the spaces between them have eight characters or more, unless the line ends.
-    around = F.concat_ws(" ", "word", *[F.get("words", F.col("at") + k) for k in range(1, 1 + SHINGLE_CHARS // 2)])
+    each = long_lines(docs, least_words).select("node", F.split("spaced", " ").alias("words")).select("node", "words", F.posexplode("words").alias("at", "word"))
+    around = F.concat("word", F.lit(" "), F.coalesce(F.get("words", F.col("at") + 1), F.lit("")))
     hashed = each.select("node", F.xxhash64(F.substring(around, 1, SHINGLE_CHARS)).alias("h"))
     least = hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("node", F.array(*keys).alias("keys"))
+
+    def packed(samples: range) -> Column:
+        out = F.lit(0).cast("bigint")
+        for place, k in enumerate(samples):
+            out = out.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255).cast("bigint")), 8 * place))
+        return out
+
+    half = BANDS * ROWS // 2
+    return least.select("node", F.array(*keys).alias("keys"), packed(range(half)).alias("p0"), packed(range(half, 2 * half)).alias("p1"))
+
+
+def agreeing(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
+    """In how many samples two lines agree."""
+    out = F.lit(0)
+    for x in (p0.bitwiseXOR(q0), p1.bitwiseXOR(q1)):
+        for place in range(BANDS * ROWS // 2):
+            out = out + F.when(F.shiftright(x, 8 * place).bitwiseAND(F.lit(255).cast("bigint")) == 0, 1).otherwise(0)
+    return out
 
 
 def shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
@@ -81,20 +102,24 @@ def shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * size)))))
 
 
-def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose lines' Jaccard similarity over all character shingles reaches ``similarity``."""
-    second = texts.select(F.col("node").alias("b_node"), F.col("line").alias("b_line"))
-    first = texts.select(F.col("node").alias("a_node"), F.col("line").alias("a_line"))
-    both = pairs.join(second, F.col("v") == F.col("b_node")).join(first, F.col("u") == F.col("a_node"))
-    # Lines whose lengths differ by more can't be as similar: a set has no more shingles than its line has places,
-    # so only the sets themselves decide.
-    sets = both.select("u", "v", shingles(F.col("a_line")).alias("a"), shingles(F.col("b_line")).alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    counted = sets.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), shared.alias("n"))
-    return counted.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("u", "v")
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two lines' Jaccard similarity over all character shingles reaches ``similarity``; each set is made once."""
+    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
+    counts = F.transform(sets, lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("n")))
+    return F.get(F.transform(counts, lambda c: c["n"] >= similarity * (c["na"] + c["nb"] - c["n"])), F.lit(0))
+
+
+def links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that agree in LEAST_AGREEING samples and whose exact similarity reaches ``similarity``."""
+    side = lambda c: sketches.select(F.col("node").alias(f"{c}_node"), F.col("p0").alias(f"{c}0"), F.col("p1").alias(f"{c}1"))
+    near = pairs.join(side("a"), F.col("u") == F.col("a_node")).join(side("b"), F.col("v") == F.col("b_node")).where(agreeing(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) >= LEAST_AGREEING).select("u", "v")
+    second = texts.select(F.col("node").alias("y_node"), F.col("line").alias("y_line"))
+    first = texts.select(F.col("node").alias("x_node"), F.col("line").alias("x_line"))
+    both = near.join(second, F.col("v") == F.col("y_node")).join(first, F.col("u") == F.col("x_node"))
+    return both.where(alike(F.col("x_line"), F.col("y_line"), similarity)).select("u", "v")
 
 
-def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links that make all components of (key, node, comp, group, size), found in pairs of blocks.
 
     In a round each line of a block looks for one line of another component in the
@@ -103,19 +128,19 @@ def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     """
     as_group = F.when(F.col("size") <= WHOLE_GROUP, F.xxhash64("group")).otherwise(F.col("key"))
     held = rest.select(as_group.alias("g"), "node", "comp").distinct()
-    sized = held.join(texts.select(F.col("node").alias("t_node"), "line"), F.col("node") == F.col("t_node"))
+    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "p0", "p1")
+    sized = held.join(known, F.col("node") == F.col("t_node"))
     blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.char_length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
     dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = materialise(dealt.select("g", "node", "comp", "own", "blocks", shingles(F.col("line")).alias("set")), "line-sets")
+    dealt = materialise(dealt.select("g", "node", "comp", "own", "blocks", "line", "p0", "p1"), "line-sets")
     found: DataFrame | None = None
     while True:
         spread = dealt.groupBy(F.col("g").alias("o_g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         open_ = dealt.join(spread, F.col("g") == F.col("o_g"), "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = open_.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "comp", "own", "set")).alias("ms"))
+        pairs = open_.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "comp", "own", "line", "p0", "p1")).alias("ms"))
 
         def near(x: Column, y: Column) -> Column:
-            n = F.size(F.array_intersect(x["set"], y["set"]))
-            return (x["comp"] != y["comp"]) & (n >= similarity * (F.size(x["set"]) + F.size(y["set"]) - n))
+            return (x["comp"] != y["comp"]) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & alike(x["line"], y["line"], similarity)
 
         def partner(x: Column) -> Column:
             others = F.filter("ms", lambda y: ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & near(x, y))
@@ -126,7 +151,7 @@ def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             return found if found is not None else links_
         found = links_ if found is None else materialise(found.unionByName(links_), "line-block-all")
         now = components(found.unionByName(dealt.select(F.col("node").alias("u"), F.col("comp").alias("v")).distinct()), "line-block").select(F.col("node").alias("n_node"), F.col("comp").alias("n_comp"))
-        dealt = materialise(dealt.join(now, F.col("node") == F.col("n_node"), "left").select("g", "node", F.coalesce("n_comp", "comp").alias("comp"), "own", "blocks", "set"), "line-sets")
+        dealt = materialise(dealt.join(now, F.col("node") == F.col("n_node"), "left").select("g", "node", F.coalesce("n_comp", "comp").alias("comp"), "own", "blocks", "line", "p0", "p1"), "line-sets")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,12 +187,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
             by_doc = firsts.groupBy(F.col("at.id").alias("p_id"), F.col("at.th").alias("p_th")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "node")).alias("ps"))
             held = base.join(by_doc, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
             each = held.select(F.split("text", "\n").alias("ls"), F.explode("ps").alias("p"))
-            kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(" \t\n\x0b\x0c\r")).alias("line")), "line-texts"))
+            kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(SPACES)).alias("line")), "line-texts"))
+            kept.append(materialise(signed.select("node", "p0", "p1").join(wanted, "node", "left_semi"), "line-sketches"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return materialise(links(pairs, kept[0], similarity), "line-links")
+            return materialise(links(pairs, kept[1], kept[0], similarity), "line-links")
 
-        found = classes(buckets, verify, lambda rest: block_links(rest, kept[0], similarity), "line", fetch)
+        found = classes(buckets, verify, lambda rest: block_links(rest, kept[1], kept[0], similarity), "line", fetch)
         known = found.select(F.col("node").alias("c_node"), "comp")
         placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
         firsts = placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
