@@ -44,7 +44,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None, grouped: bool = True) -> DataFrame:
     """Components of the verified links among nodes that share a bucket.
 
     ``buckets`` holds distinct (key, node).  ``verify`` takes distinct pairs (u, v)
@@ -78,9 +78,11 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     left = materialise(placed.join(spread, F.col("key") == F.col("k")).select("key", "node", "comp", "first"), f"{label}-open")
     if left.isEmpty():
         return comp
-    groups = components(left.select(F.col("first").alias("u"), F.col("node").alias("v")), f"{label}-group").select(F.col("node").alias("g_node"), F.col("comp").alias("group"))
-    counted = groups.groupBy(F.col("group").alias("s_group")).agg(F.count(F.lit(1)).alias("size"))
-    whole = groups.join(counted, F.col("group") == F.col("s_group")).select("g_node", "group", "size")
-    rest = materialise(left.join(whole, F.col("node") == F.col("g_node")).select("key", "node", "comp", "group", "size"), f"{label}-rest")
+    rest = left.select("key", "node", "comp")
+    if grouped:
+        groups = components(left.select(F.col("first").alias("u"), F.col("node").alias("v")), f"{label}-group").select(F.col("node").alias("g_node"), F.col("comp").alias("group"))
+        counted = groups.groupBy(F.col("group").alias("s_group")).agg(F.count(F.lit(1)).alias("size"))
+        whole = groups.join(counted, F.col("group") == F.col("s_group")).select("g_node", "group", "size")
+        rest = materialise(rest.join(whole, F.col("node") == F.col("g_node")).select("key", "node", "comp", "group", "size"), f"{label}-rest")
     more = finish(rest)
     return materialise(components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), label), f"{label}-comp")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeweave.llm._clusters import classes, components
+from cubeweave.llm._clusters import classes
 from cubeweave.llm._scratch import materialise, released_shuffles
 
 #: Characters of a shingle, and the least share of shingles that two lines must have in common.
@@ -21,8 +21,6 @@ BANDS, ROWS = 6, 2
 LEAST_AGREEING = 5
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
 BLOCK_LINES, BLOCK_CHARS = 64, 200_000
-#: A group of up to so many lines is compared as a whole, a larger one bucket by bucket.
-WHOLE_GROUP = 6_000
 SPACES = " \t\n\x0b\x0c\r"
 #: Scripts that write without spaces: each character begins a shingle of its own.
 UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
@@ -96,17 +94,25 @@ def agreeing(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
 
 def shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
     """Hashes of all distinct shingles of a line, by UTF-16 units; a shorter line is one shingle."""
-    units = F.encode(line, "UTF-16BE")
-    n = F.octet_length(units) / 2 - size
-    starts = F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * size)))))
+    def made(units: Column) -> Column:
+        n = F.octet_length(units) / 2 - size
+        starts = F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * size)))))
+
+    # As a variable of a function, the encoded line is made once and not again at each place.
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), made), F.lit(0))
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
     """Whether two lines' Jaccard similarity over all character shingles reaches ``similarity``; each set is made once."""
     sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
-    counts = F.transform(sets, lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("n")))
-    return F.get(F.transform(counts, lambda c: c["n"] >= similarity * (c["na"] + c["nb"] - c["n"])), F.lit(0))
+    return F.get(F.transform(sets, lambda s: _enough(s["a"], s["b"], similarity)), F.lit(0))
+
+
+def _enough(a: Column, b: Column, similarity: float) -> Column:
+    shared = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n >= similarity * (F.size(a) + F.size(b) - n))
+    # The smaller set bounds what two sets can share.
+    return (F.least(F.size(a), F.size(b)) >= similarity * F.greatest(F.size(a), F.size(b))) & F.get(shared, F.lit(0))
 
 
 def links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -120,38 +126,36 @@ def links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: f
 
 
 def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links that make all components of (key, node, comp, group, size), found in pairs of blocks.
+    """Links that make all components of (key, node, comp), found in pairs of blocks of each bucket.
 
-    In a round each line of a block looks for one line of another component in the
-    other block; components are then taken anew, until no line finds one.  So a
-    pair of blocks returns no more links than it has lines.
+    Each line looks through the other block for lines of components that it has
+    no link to yet; a pair that shares several buckets is tested in the first.  So
+    a line returns no more links than there are components like it, not lines.
     """
-    as_group = F.when(F.col("size") <= WHOLE_GROUP, F.xxhash64("group")).otherwise(F.col("key"))
-    held = rest.select(as_group.alias("g"), "node", "comp").distinct()
-    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "p0", "p1")
-    sized = held.join(known, F.col("node") == F.col("t_node"))
+    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "keys", "p0", "p1")
+    sized = rest.select(F.col("key").alias("g"), "node", "comp").join(known, F.col("node") == F.col("t_node"))
     blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.char_length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = materialise(dealt.select("g", "node", "comp", "own", "blocks", "line", "p0", "p1"), "line-sets")
-    found: DataFrame | None = None
-    while True:
-        spread = dealt.groupBy(F.col("g").alias("o_g")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        open_ = dealt.join(spread, F.col("g") == F.col("o_g"), "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = open_.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(F.struct("node", "comp", "own", "line", "p0", "p1")).alias("ms"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("node", "comp", "own", "line", "keys", "p0", "p1")
+    pairs = dealt.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(member).alias("ms"))
+
+    def partners(x: Column) -> Column:
+        def among(sets: Column) -> Column:
+            def near(y: Column) -> Column:
+                first = F.get(F.filter(F.zip_with(x["keys"], y["keys"], lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
+                alike_ = F.transform(F.array(shingles(y["line"])), lambda other: _enough(sets, other, similarity))
+                return (first == F.col("g")) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & F.get(alike_, F.lit(0))
+
+            def step(found: Column, y: Column) -> Column:
+                new = (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & ~F.array_contains(F.transform(found, lambda f: f["c"]), y["comp"])
+                return F.when(new, F.when(near(y), F.concat(found, F.array(F.struct(x["node"].alias("u"), y["node"].alias("v"), y["comp"].alias("c"))))).otherwise(found)).otherwise(found)
 
-        def near(x: Column, y: Column) -> Column:
-            return (x["comp"] != y["comp"]) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & alike(x["line"], y["line"], similarity)
+            return F.aggregate("ms", F.array().cast("array<struct<u:bigint,v:bigint,c:bigint>>"), step)
 
-        def partner(x: Column) -> Column:
-            others = F.filter("ms", lambda y: ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & near(x, y))
-            return F.struct(x["node"].alias("u"), F.get(F.transform(others, lambda y: y["node"]), F.lit(0)).alias("v"))
+        return F.get(F.transform(F.array(shingles(x["line"])), among), F.lit(0))
 
-        links_ = materialise(pairs.select(F.inline(F.transform("ms", partner))).where("v IS NOT NULL").distinct(), "line-block-links")
-        if links_.isEmpty():
-            return found if found is not None else links_
-        found = links_ if found is None else materialise(found.unionByName(links_), "line-block-all")
-        now = components(found.unionByName(dealt.select(F.col("node").alias("u"), F.col("comp").alias("v")).distinct()), "line-block").select(F.col("node").alias("n_node"), F.col("comp").alias("n_comp"))
-        dealt = materialise(dealt.join(now, F.col("node") == F.col("n_node"), "left").select("g", "node", F.coalesce("n_comp", "comp").alias("comp"), "own", "blocks", "line", "p0", "p1"), "line-sets")
+    return materialise(pairs.select(F.inline(F.flatten(F.transform("ms", partners)))).select("u", "v").distinct(), "line-block-links")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,12 +192,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
             held = base.join(by_doc, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
             each = held.select(F.split("text", "\n").alias("ls"), F.explode("ps").alias("p"))
             kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(SPACES)).alias("line")), "line-texts"))
-            kept.append(materialise(signed.select("node", "p0", "p1").join(wanted, "node", "left_semi"), "line-sketches"))
+            kept.append(materialise(signed.select("node", "keys", "p0", "p1").join(wanted, "node", "left_semi"), "line-sketches"))
 
         def verify(pairs: DataFrame) -> DataFrame:
             return materialise(links(pairs, kept[1], kept[0], similarity), "line-links")
 
-        found = classes(buckets, verify, lambda rest: block_links(rest, kept[1], kept[0], similarity), "line", fetch)
+        found = classes(buckets, verify, lambda rest: block_links(rest, kept[1], kept[0], similarity), "line", fetch, grouped=False)
         known = found.select(F.col("node").alias("c_node"), "comp")
         placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
         firsts = placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
