@@ -17,26 +17,26 @@ _P = "PARTITION BY status ORDER BY day"
 
 def _rolling(name: str, sql: str, window: int = 5, center: bool = False, min_periods: int | None = None):
     def run(spark, sf):
-        return rounded(W.rolling(C.gappy(spark, sf), "day", window, name, min_periods, center).frame, 3)
+        return rounded(W.rolling(C.gappy(spark, sf), "day", window, name, min_periods, center).astype("double").frame, 3)
 
     run.__name__ = f"rolling_{name}" + "_center" * center + (f"_min{min_periods}" if min_periods else "")
     back, ahead = (window // 2, (window - 1) // 2) if center else (window - 1, 0)
     # Positions are those of the days that the cube has, over both statuses.
     frame = f"PARTITION BY status ORDER BY pos RANGE BETWEEN {back} PRECEDING AND {ahead} FOLLOWING"
     need = min_periods or window
-    query(f"WITH {GAPPY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM gappy) SELECT day, status, CASE WHEN count(quantity) OVER w >= {need} THEN round({sql} OVER w, 3) END AS quantity FROM p WINDOW w AS ({frame})")(run)
+    query(f"WITH {GAPPY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM gappy) SELECT day, status, CASE WHEN count(quantity) OVER w >= {need} THEN CAST(round({sql} OVER w, 3) AS DOUBLE) END AS quantity FROM p WINDOW w AS ({frame})")(run)
 
 
 for _n, _s, _more in (
     ("sum", "sum(quantity)", {}), ("mean", "avg(quantity)", {"center": True}), ("min", "min(quantity)", {"min_periods": 1}), ("max", "max(quantity)", {"min_periods": 2, "center": True}),
-    ("std", "stddev_pop(quantity)", {"min_periods": 3}), ("median", "quantile_cont(quantity, 0.5)", {"min_periods": 1}), ("count", "CAST(count(quantity) AS DOUBLE)", {"min_periods": 1}),
+    ("std", "stddev_pop(quantity)", {"min_periods": 3}), ("median", "quantile_cont(quantity, 0.5)", {"min_periods": 1}), ("count", "count(quantity)", {"min_periods": 1}),
 ):
     _rolling(_n, _s, **_more)
 
 
-@query(f"WITH {DAILY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM daily), j AS (SELECT a.day, a.status, arg_max(b.pos - (a.pos - 6), (b.quantity, -b.pos)) AS quantity, count(*) AS n FROM p a JOIN p b ON a.status = b.status AND b.pos BETWEEN a.pos - 6 AND a.pos GROUP BY 1, 2) SELECT day, status, CASE WHEN n >= 7 THEN quantity END AS quantity FROM j")
+@query(f"WITH {DAILY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM daily), j AS (SELECT a.day, a.status, arg_max(b.pos - (a.pos - 6), (b.quantity, -b.pos)) AS quantity, count(*) AS n FROM p a JOIN p b ON a.status = b.status AND b.pos BETWEEN a.pos - 6 AND a.pos GROUP BY 1, 2) SELECT day, status, CAST(CASE WHEN n >= 7 THEN quantity END AS DOUBLE) AS quantity FROM j")
 def rolling_argmax(spark, sf):
-    return W.rolling(C.daily(spark, sf)["quantity"], "day", 7, "argmax").frame
+    return W.rolling(C.daily(spark, sf)["quantity"], "day", 7, "argmax").astype("double").frame
 
 
 @query(f"WITH {DAILY} SELECT day, status, round(sum(quantity) OVER ({_P}), 2) AS quantity FROM daily")
@@ -116,7 +116,7 @@ def ffill_unlimited(spark, sf):
     return W.ffill(C.gappy(spark, sf), "day").frame
 
 
-@query(f"WITH {GAPPY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM gappy), f AS (SELECT day, status, pos, first_value(quantity IGNORE NULLS) OVER w AS q, first_value(CASE WHEN quantity IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS at FROM p WINDOW w AS (PARTITION BY status ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT day, status, CASE WHEN at - pos <= 1 THEN q END AS quantity FROM f")
+@query(f"WITH {GAPPY}, p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pos FROM gappy), f AS (SELECT day, status, pos, first_value(quantity IGNORE NULLS) OVER w AS q, first_value(CASE WHEN quantity IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS found FROM p WINDOW w AS (PARTITION BY status ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT day, status, CASE WHEN found - pos <= 1 THEN q END AS quantity FROM f")
 def bfill_limit(spark, sf):
     return W.bfill(C.gappy(spark, sf), "day", 1).frame
 

@@ -21,7 +21,7 @@ def _lines(spark, sf):
 
 
 def _by(spark, sf, name, **more):
-    return rounded(R.reduce(_lines(spark, sf), name, "row", **more).frame, 2)
+    return rounded(R.reduce(_lines(spark, sf), name, "row", **more).frame, 3)
 
 
 def _reducer(name: str, sql: str, **more):
@@ -33,8 +33,8 @@ def _reducer(name: str, sql: str, **more):
 
 
 for _name, _sql, _more in (
-    ("count", "count(?)", {}), ("sum", "round(sum(?), 2)", {}), ("mean", "round(avg(?), 2)", {}), ("min", "min(?)", {}), ("max", "max(?)", {}), ("median", "round(quantile_cont(?, 0.5), 2)", {}),
-    ("std", "round(stddev_pop(?), 2)", {}), ("var", "round(var_pop(?) * (count(*) / (count(*) - 1.0::DOUBLE)), 2)", {"ddof": 1}),
+    ("count", "count(?)", {}), ("sum", "round(sum(?), 3)", {}), ("mean", "round(avg(?), 3)", {}), ("min", "min(?)", {}), ("max", "max(?)", {}), ("median", "round(quantile_cont(?, 0.5), 3)", {}),
+    ("std", "round(stddev_pop(?), 3)", {}), ("var", "round(var_pop(?) * (count(*) / (count(*) - 1.0::DOUBLE)), 3)", {"ddof": 1}),
 ):
     _reducer(_name, _sql, **_more)
 
@@ -189,11 +189,11 @@ def groupby_season_overlap(spark, sf):
     return G.groupby(Cube(c.frame.select("o_orderkey", "o_totalprice", "o_orderdate"), ("o_orderkey",), ("o_totalprice",)), G.seasons("season", F.col("o_orderdate"), ["DJFM", "MAMJ"])).reduce("count").frame
 
 
-@query("WITH g AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, p_size, n FROM (SELECT DISTINCT p_brand FROM g) CROSS JOIN (SELECT DISTINCT p_size FROM g) LEFT JOIN g USING (p_brand, p_size)")
+@query("WITH g AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, p_size, CAST(n AS DOUBLE) AS n FROM (SELECT DISTINCT p_brand FROM g) CROSS JOIN (SELECT DISTINCT p_size FROM g) LEFT JOIN g USING (p_brand, p_size)")
 def groupby_multi_dense(spark, sf):
     c = C.part(spark, sf)
     g = G.groupby(c, "p_brand", "p_size")
-    return g.dense(g.agg(n=F.count(F.lit(1)))).frame
+    return g.dense(g.agg(n=F.count(F.lit(1)))).astype("double").frame
 
 
 @query(f"WITH {DAILY} SELECT day, status, round(quantity - avg(quantity) OVER (PARTITION BY month(day), status), 4) AS quantity FROM daily")

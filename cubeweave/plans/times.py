@@ -94,10 +94,10 @@ def resample_48h_sum(spark, sf):
     return rounded(G.resample(_event_cube(spark, sf), "ts", "48h").reduce("sum").frame, 3)
 
 
-@query("WITH b AS (SELECT date_trunc('month', o_orderdate) AS o_orderdate, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM b), (SELECT max(o_orderdate) FROM b), INTERVAL 1 MONTH)) AS o_orderdate), g AS (SELECT o_orderdate, o_orderpriority FROM s, (SELECT DISTINCT o_orderpriority FROM orders)) SELECT g.o_orderdate, g.o_orderpriority, b.n AS o_totalprice FROM g LEFT JOIN b USING (o_orderdate, o_orderpriority)")
+@query("WITH b AS (SELECT date_trunc('month', o_orderdate) AS o_orderdate, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM b), (SELECT max(o_orderdate) FROM b), INTERVAL 1 MONTH)) AS o_orderdate), g AS (SELECT o_orderdate, o_orderpriority FROM s, (SELECT DISTINCT o_orderpriority FROM orders)) SELECT g.o_orderdate, g.o_orderpriority, CAST(b.n AS DOUBLE) AS o_totalprice FROM g LEFT JOIN b USING (o_orderdate, o_orderpriority)")
 def resample_month_count(spark, sf):
     c = Cube(C.table(spark, sf, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice"), ("o_orderdate", "o_orderpriority"), ("o_totalprice",))
-    return G.resample(c, "o_orderdate", "MS").reduce("count").frame
+    return G.resample(c, "o_orderdate", "MS").reduce("count").astype("double").frame
 
 
 @query("SELECT date_trunc('quarter', o_orderdate) AS o_orderdate, o_orderstatus, round(max(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1, 2")
