@@ -202,12 +202,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
         firsts = placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
         later = placed.join(firsts, F.col("comp") == F.col("f_comp")).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("at")))
-        gone = materialise(later.groupBy(F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set("pos").alias("gone")), "line-gone")
-    marked = docs.withColumn("g_own", F.xxhash64(text_col))
-    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col("g_id")) & (F.col("g_own") == F.col("g_th")), "left")
+        gone = materialise(later.groupBy(F.col("id").alias("ld__id"), F.col("th").alias("ld__th")).agg(F.collect_set("pos").alias("ld__gone")), "line-gone")
+    marked = docs.withColumn("ld__own", F.xxhash64(text_col))
+    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col("ld__id")) & (F.col("ld__own") == F.col("ld__th")), "left")
     ls = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "ld__gone")
+    text = F.when(F.col("ld__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
-    n_removed = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("gone")), F.lit(0))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("bigint").alias("n_removed"))
+    n_removed = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("ld__gone")), F.lit(0))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("bigint").alias("n_lines"), F.when(F.col("ld__gone").isNull(), 0).otherwise(n_removed).cast("bigint").alias("n_removed"))

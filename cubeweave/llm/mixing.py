@@ -66,12 +66,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
 
     Returns the columns of ``docs`` and mix_copy (1, 2, ...), mix_rate (the
     source's rate) and mix_key (the hash).  Columns of ``docs`` of these names
-    are replaced.  Null texts and empty texts are documents like others; a null
+    are replaced, and none may begin with mix_ otherwise.  Null texts and empty texts are documents like others; a null
     source is a source; repeated rows with one id draw alike; an empty table
     gives an empty one.
     """
-    docs = docs.drop("mix_copy", "mix_rate", "mix_key", "mix_source")
-    rates = source_rates(docs, weights, total, source_col).withColumn("mix_below", poisson_table(F.col("rate")))
+    docs = docs.drop("mix_copy", "mix_rate", "mix_key", "mix_source", "mix_below", "mix_draw", "mix_n", "mix_own", "mix_salt")
+    rates = source_rates(docs, weights, total, source_col).select("mix_source", F.col("rate").alias("mix_rate"), poisson_table(F.col("rate")).alias("mix_below"))
     n_sources = docs.select(source_col).distinct().count()
     if n_sources <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("mix_source")))
@@ -81,6 +81,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
         joined = own.join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_salt")))
     draw = uniform(F.lit(seed), F.col(id_col))
     drawn = joined.withColumn("mix_draw", draw).withColumn("mix_n", F.size(F.filter("mix_below", lambda c: c < F.col("mix_draw"))))
-    copies = drawn.where("mix_n > 0").select(*docs.columns, F.col("rate").alias("mix_rate"), F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
+    copies = drawn.where("mix_n > 0").select(*docs.columns, "mix_rate", F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
     return copies.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
