@@ -20,7 +20,7 @@ BANDS, ROWS = 6, 2
 #: Candidates that agree in fewer of the 12 samples are no links; at a similarity of 0.8 that errs with probability 0.0006.
 LEAST_AGREEING = 5
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
-BLOCK_LINES, BLOCK_CHARS = 64, 200_000
+BLOCK_LINES, BLOCK_CHARS = 256, 400_000
 SPACES = " \t\n\x0b\x0c\r"
 #: Scripts that write without spaces: each character begins a shingle of its own.
 UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
@@ -140,22 +140,21 @@ def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similari
     member = F.struct("node", "comp", "own", "line", "keys", "p0", "p1")
     pairs = dealt.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(member).alias("ms"))
 
-    def partners(x: Column) -> Column:
-        def among(sets: Column) -> Column:
-            def near(y: Column) -> Column:
-                first = F.get(F.filter(F.zip_with(x["keys"], y["keys"], lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
-                alike_ = F.transform(F.array(shingles(y["line"])), lambda other: _enough(sets, other, similarity))
-                return (first == F.col("g")) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & F.get(alike_, F.lit(0))
+    def partners(members: Column, x: Column) -> Column:
+        def near(y: Column) -> Column:
+            first = F.get(F.filter(F.zip_with(x["keys"], y["keys"], lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
+            return (first == F.col("g")) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & _enough(x["set"], y["set"], similarity)
 
-            def step(found: Column, y: Column) -> Column:
-                new = (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & ~F.array_contains(F.transform(found, lambda f: f["c"]), y["comp"])
-                return F.when(new, F.when(near(y), F.concat(found, F.array(F.struct(x["node"].alias("u"), y["node"].alias("v"), y["comp"].alias("c"))))).otherwise(found)).otherwise(found)
+        def step(found: Column, y: Column) -> Column:
+            new = (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & ~F.array_contains(F.transform(found, lambda f: f["c"]), y["comp"])
+            return F.when(new, F.when(near(y), F.concat(found, F.array(F.struct(x["node"].alias("u"), y["node"].alias("v"), y["comp"].alias("c"))))).otherwise(found)).otherwise(found)
 
-            return F.aggregate("ms", F.array().cast("array<struct<u:bigint,v:bigint,c:bigint>>"), step)
+        return F.aggregate(members, F.array().cast("array<struct<u:bigint,v:bigint,c:bigint>>"), step)
 
-        return F.get(F.transform(F.array(shingles(x["line"])), among), F.lit(0))
-
-    return materialise(pairs.select(F.inline(F.flatten(F.transform("ms", partners)))).select("u", "v").distinct(), "line-block-links")
+    # As a variable of a function, the lines with their sets are made once for a pair of blocks.
+    with_sets = F.transform("ms", lambda m: F.struct(*[m[c].alias(c) for c in ("node", "comp", "own", "keys", "p0", "p1")], shingles(m["line"]).alias("set")))
+    found = F.get(F.transform(F.array(with_sets), lambda ms: F.flatten(F.transform(ms, lambda x: partners(ms, x)))), F.lit(0))
+    return materialise(pairs.select(F.inline(found)).select("u", "v").distinct(), "line-block-links")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +180,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     with released_shuffles(spark):
         places = materialise(long_lines(base, least_words).select("id", "th", "pos", "node"), "line-places")
         signed = materialise(signatures(base, least_words), "line-signatures")
-        buckets = signed.select("node", F.explode("keys").alias("key")).distinct()
+        # A node's keys differ, for each hash begins with its band.
+        buckets = signed.select("node", F.explode("keys").alias("key"))
         kept: list[DataFrame] = []
 
         def fetch(wanted: DataFrame) -> None:
@@ -189,7 +189,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
             found = places.join(wanted.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node"), "left_semi")
             firsts = found.groupBy("node").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
             by_doc = firsts.groupBy(F.col("at.id").alias("p_id"), F.col("at.th").alias("p_th")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "node")).alias("ps"))
-            held = base.join(by_doc, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+            # The lists are the small side: a hash table of them spares sorting the texts.
+            held = base.join(by_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
             each = held.select(F.split("text", "\n").alias("ls"), F.explode("ps").alias("p"))
             kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(SPACES)).alias("line")), "line-texts"))
             kept.append(materialise(signed.select("node", "keys", "p0", "p1").join(wanted, "node", "left_semi"), "line-sketches"))
@@ -204,7 +205,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         later = placed.join(firsts, F.col("comp") == F.col("f_comp")).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("at")))
         gone = materialise(later.groupBy(F.col("id").alias("ld__id"), F.col("th").alias("ld__th")).agg(F.collect_set("pos").alias("ld__gone")), "line-gone")
     marked = docs.withColumn("ld__own", F.xxhash64(text_col))
-    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col("ld__id")) & (F.col("ld__own") == F.col("ld__th")), "left")
+    joined = marked.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("ld__id")) & (F.col("ld__own") == F.col("ld__th")), "left")
     ls = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "ld__gone")
     text = F.when(F.col("ld__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))

@@ -187,7 +187,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
         kind = rows.schema["id"].dataType.simpleString()
         signed = materialise(full.mapInArrow(sign, f"id {kind}, node binary, keys array<bigint>"), "signatures")
         nodes = signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-        buckets = nodes.select(F.explode("keys").alias("key"), "node").distinct()
+        buckets = nodes.select(F.explode("keys").alias("key"), "node")
         kept: list[DataFrame] = []
 
         def fetch(wanted: DataFrame) -> None:
