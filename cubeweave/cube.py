@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -295,8 +296,9 @@ class Cube:
         """``"c = a + b * 2"``: a new variable from an expression over variables."""
         from cubeweave.functions.expressions import translate
 
-        target, _, text = statement.partition("=") if "=" in statement and statement.split("=")[0].strip().isidentifier() and "==" not in statement.split("=", 1)[0] + "=" + statement.split("=", 1)[1][:1] else ("result", "", statement)
-        return self.assign(**{target.strip(): translate(text, {*self.names, *self.dims, *self.coords})})
+        assigned = re.fullmatch(r"\s*([A-Za-z_]\w*)\s*=(?!=)(.*)", statement, re.S)
+        target, text = assigned.groups() if assigned else ("result", statement)
+        return self.assign(**{target: translate(text, {*self.names, *self.dims, *self.coords})})
 
     def fillna(self, value: Any) -> Cube:
         values = value if isinstance(value, Mapping) else dict.fromkeys(self.names, value)

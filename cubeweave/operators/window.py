@@ -105,9 +105,6 @@ def rolling_exp(cube: Cube, dim: str, name: str = "mean", other: str | None = No
     rest = cube.rest(dim)
 
     def one(n: str) -> Column:
-        x = F.col("v")[n]
-        y = F.col("v")[other] if other else x
-        del x, y
         zero = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "ww", "x", "y", "xx", "yy", "xy")], F.array().cast("array<double>").alias("out"))
 
         def step(s: Column, v: Column) -> Column:
