@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from cubeweave.plans import axes, cells, groups, texts, times  # noqa: E402,F401
+from cubeweave.plans import axes, cells, groups, more, texts, times  # noqa: E402,F401
