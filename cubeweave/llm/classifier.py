@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.llm._shingles import mixed, word_hashes
-from cubeweave.llm.tokens import slices
+from cubeweave.llm.tokens import HASH_SLICE_BYTES, slices
 
 #: Hashed features, as a power of two.
 BITS = 20
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: OrdinalModel, least: float = LEAST_TAIL, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = OrdinalModel(*sent.value)
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, size=HASH_SLICE_BYTES):
                 tails = known.tails(texts)
                 cols = [batch.column("id").slice(first, len(texts)), pa.array(tails.sum(1)), *(pa.array(t) for t in tails.T), pa.array(tails[:, -1] >= least)]
                 yield pa.RecordBatch.from_arrays(cols, names)

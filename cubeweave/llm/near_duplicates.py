@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cubeweave.llm._clusters import classes
 from cubeweave.llm._scratch import materialise, released_shuffles
 from cubeweave.llm._shingles import mixed, window_hashes, word_hashes
-from cubeweave.llm.tokens import slices
+from cubeweave.llm.tokens import HASH_SLICE_BYTES, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -125,7 +125,7 @@ def sketch(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for batch in batches:
-            for _, texts in slices(batch):
+            for _, texts in slices(batch, size=HASH_SLICE_BYTES):
                 hashes, _, _ = shingle_counts(texts)
                 cells += np.bincount((hashes >> np.uint64(48 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 n += len(texts)
@@ -176,7 +176,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, texts in slices(batch):
+                for first, texts in slices(batch, size=HASH_SLICE_BYTES):
                     hashes, counts, bounds = shingle_counts(texts)
                     keys = band_keys(hashes, weigh.value(hashes, counts), bounds)
                     n = np.where(np.diff(bounds) > 0, BANDS, 0)
@@ -235,7 +235,7 @@ def squeezed(rows: DataFrame) -> DataFrame:
 
         squeezer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, size=HASH_SLICE_BYTES):
                 own = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([squeezer.compress(t) for t in texts], pa.binary())], ["id", "node", "text"])
 

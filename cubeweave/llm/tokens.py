@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that one Python worker keeps at most; beyond it the table starts anew.
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 500_000
 #: Documents of one batch are handled in slices of about so many bytes.
 SLICE_BYTES = 4_000_000
 #: The same where words are looked up: more text holds more words alike.
 WORD_SLICE_BYTES = 8_000_000
+#: And where arrays of several times the text are made.
+HASH_SLICE_BYTES = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
