@@ -17,8 +17,6 @@ SHINGLE_CHARS, SIMILARITY = 8, 0.8
 LEAST_WORDS = 5
 #: At a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**6 < 0.0022.
 BANDS, ROWS = 6, 2
-#: Candidates that agree in fewer of the 12 samples are no links; at a similarity of 0.8 that errs with probability 0.0006.
-LEAST_AGREEING = 5
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
 BLOCK_LINES, BLOCK_CHARS = 256, 400_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -61,35 +59,19 @@ def long_lines(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, least_words: int) -> DataFrame:
-    """Per distinct line: node, the keys of its bands, and its samples' low bytes in two numbers.
+    """Per distinct line: node and the keys of its bands.
 
-    A line's shingles of SHINGLE_CHARS characters that begin at a word stand for
-    all of its shingles here.  One hash of each and a constant per sample give the
-    sample's order (exclusive or of the two); the least is the sample.
+    The samples are over all of a line's shingles, as the exact comparison is.  One
+    hash of each shingle and a constant per sample give the sample's order
+    (exclusive or of the two); the least is the sample.
     """
-    each = long_lines(docs, least_words).select("node", F.split("spaced", " ").alias("words")).select("node", "words", F.posexplode("words").alias("at", "word"))
-    around = F.concat("word", F.lit(" "), F.coalesce(F.get("words", F.col("at") + 1), F.lit("")))
-    hashed = each.select("node", F.xxhash64(F.substring(around, 1, SHINGLE_CHARS)).alias("h"))
+    units = long_lines(docs, least_words).select("node", F.encode("line", "UTF-16BE").alias("units"))
+    last = F.greatest(F.octet_length("units") / 2 - SHINGLE_CHARS, F.lit(0)).cast("int")
+    each = units.select("node", "units", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    hashed = each.select("node", F.xxhash64(F.substring(F.col("units"), 2 * F.col("at") + 1, F.lit(2 * SHINGLE_CHARS))).alias("h"))
     least = hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-
-    def packed(samples: range) -> Column:
-        out = F.lit(0).cast("bigint")
-        for place, k in enumerate(samples):
-            out = out.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255).cast("bigint")), 8 * place))
-        return out
-
-    half = BANDS * ROWS // 2
-    return least.select("node", F.array(*keys).alias("keys"), packed(range(half)).alias("p0"), packed(range(half, 2 * half)).alias("p1"))
-
-
-def agreeing(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
-    """In how many samples two lines agree."""
-    out = F.lit(0)
-    for x in (p0.bitwiseXOR(q0), p1.bitwiseXOR(q1)):
-        for place in range(BANDS * ROWS // 2):
-            out = out + F.when(F.shiftright(x, 8 * place).bitwiseAND(F.lit(255).cast("bigint")) == 0, 1).otherwise(0)
-    return out
+    return least.select("node", F.array(*keys).alias("keys"))
 
 
 def shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
@@ -115,13 +97,11 @@ def _enough(a: Column, b: Column, similarity: float) -> Column:
     return (F.least(F.size(a), F.size(b)) >= similarity * F.greatest(F.size(a), F.size(b))) & F.get(shared, F.lit(0))
 
 
-def links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) that agree in LEAST_AGREEING samples and whose exact similarity reaches ``similarity``."""
-    side = lambda c: sketches.select(F.col("node").alias(f"{c}_node"), F.col("p0").alias(f"{c}0"), F.col("p1").alias(f"{c}1"))
-    near = pairs.join(side("a"), F.col("u") == F.col("a_node")).join(side("b"), F.col("v") == F.col("b_node")).where(agreeing(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) >= LEAST_AGREEING).select("u", "v")
+def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose exact similarity reaches ``similarity``."""
     second = texts.select(F.col("node").alias("y_node"), F.col("line").alias("y_line"))
     first = texts.select(F.col("node").alias("x_node"), F.col("line").alias("x_line"))
-    both = near.join(second, F.col("v") == F.col("y_node")).join(first, F.col("u") == F.col("x_node"))
+    both = pairs.join(second, F.col("v") == F.col("y_node")).join(first, F.col("u") == F.col("x_node"))
     return both.where(alike(F.col("x_line"), F.col("y_line"), similarity)).select("u", "v")
 
 
@@ -132,18 +112,18 @@ def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similari
     no link to yet; a pair that shares several buckets is tested in the first.  So
     a line returns no more links than there are components like it, not lines.
     """
-    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "keys", "p0", "p1")
+    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "keys")
     sized = rest.select(F.col("key").alias("g"), "node", "comp").join(known, F.col("node") == F.col("t_node"))
     blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.char_length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.struct("node", "comp", "own", "line", "keys", "p0", "p1")
+    member = F.struct("node", "comp", "own", "line", "keys")
     pairs = dealt.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(member).alias("ms"))
 
     def partners(members: Column, x: Column) -> Column:
         def near(y: Column) -> Column:
             first = F.get(F.filter(F.zip_with(x["keys"], y["keys"], lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
-            return (first == F.col("g")) & (agreeing(x["p0"], x["p1"], y["p0"], y["p1"]) >= LEAST_AGREEING) & _enough(x["set"], y["set"], similarity)
+            return (first == F.col("g")) & _enough(x["set"], y["set"], similarity)
 
         def step(found: Column, y: Column) -> Column:
             new = (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & ~F.array_contains(F.transform(found, lambda f: f["c"]), y["comp"])
@@ -152,7 +132,7 @@ def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similari
         return F.aggregate(members, F.array().cast("array<struct<u:bigint,v:bigint,c:bigint>>"), step)
 
     # As a variable of a function, the lines with their sets are made once for a pair of blocks.
-    with_sets = F.transform("ms", lambda m: F.struct(*[m[c].alias(c) for c in ("node", "comp", "own", "keys", "p0", "p1")], shingles(m["line"]).alias("set")))
+    with_sets = F.transform("ms", lambda m: F.struct(*[m[c].alias(c) for c in ("node", "comp", "own", "keys")], shingles(m["line"]).alias("set")))
     found = F.get(F.transform(F.array(with_sets), lambda ms: F.flatten(F.transform(ms, lambda x: partners(ms, x)))), F.lit(0))
     return materialise(pairs.select(F.inline(found)).select("u", "v").distinct(), "line-block-links")
 
@@ -193,10 +173,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
             held = base.join(by_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
             each = held.select(F.split("text", "\n").alias("ls"), F.explode("ps").alias("p"))
             kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(SPACES)).alias("line")), "line-texts"))
-            kept.append(materialise(signed.select("node", "keys", "p0", "p1").join(wanted, "node", "left_semi"), "line-sketches"))
+            kept.append(materialise(signed.select("node", "keys").join(wanted, "node", "left_semi"), "line-sketches"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return materialise(links(pairs, kept[1], kept[0], similarity), "line-links")
+            return materialise(links(pairs, kept[0], similarity), "line-links")
 
         found = classes(buckets, verify, lambda rest: block_links(rest, kept[1], kept[0], similarity), "line", fetch, grouped=False)
         known = found.select(F.col("node").alias("c_node"), "comp")

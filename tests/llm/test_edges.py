@@ -260,6 +260,31 @@ def test_line_dedup_near_lines(spark):
     assert out == {1: rows[0][1], 2: "short one\nentirely different line of words that nobody else has", 3: ""}
 
 
+def test_line_dedup_against_all_pairs_with_long_words(spark):
+    import random
+
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    lines = []
+    for family in range(20):
+        # Five to eight words of 5 to 120 characters: an edit at each word's start changes few of all shingles.
+        words = ["".join(r.choices(letters, k=(120, 90, 60, 40, 5)[family % 5])) for _ in range(5 + family % 4)]
+        lines.append(" ".join(words))
+        lines.append(" ".join("#" + w[1:] for w in words))
+        one = r.randrange(len(words))
+        lines.append(" ".join("+" + w[1:] if k == one else w for k, w in enumerate(words)))
+    sets = [{t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in lines]
+    comp = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    firsts = {c: comp.index(c) for c in comp}
+    assert len(firsts) < 40
+    assert {x["doc_id"] for x in out if x["n_removed"] == 0} == set(firsts.values())
+
+
 def test_mixing(spark, docs):
     out = mixing.mix(docs)
     assert set(docs.columns) - {"mix_key"} <= set(out.columns)
