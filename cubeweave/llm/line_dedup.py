@@ -13,8 +13,8 @@ from cubeweave.llm._scratch import materialise, released_shuffles
 
 #: Characters of a shingle, and the least share of shingles that two lines must have in common.
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
-#: Lines of fewer words are too short to tell a copy from chance; they are always kept.
-LEAST_WORDS = 5
+#: Lines of both fewer words and fewer characters are too short to tell a copy from chance; they are always kept.
+LEAST_WORDS, LEAST_CHARS = 5, 2 * SHINGLE_CHARS
 #: At a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**6 < 0.0022.
 BANDS, ROWS = 6, 2
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
@@ -49,13 +49,14 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def long_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """Lines of at least ``least_words`` words, parted by spaces; ``node`` is a 64-bit hash of the trimmed line."""
+    """Lines of at least ``least_words`` words, parted by any of SPACES, or LEAST_CHARS characters; ``node`` is a 64-bit hash of the trimmed line."""
     # A line of n words has 2 n - 1 bytes at least: short ones need no look.
-    some = lines(docs).where(F.octet_length("line") >= 2 * least_words - 1)
+    some = lines(docs).where(F.octet_length("line") >= min(2 * least_words - 1, LEAST_CHARS))
     trimmed = some.select("id", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("line"))
-    parted = trimmed.withColumn("spaced", spaced(F.col("line")))
-    spaces = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit("")))
-    return parted.where(spaces >= least_words - 1).withColumn("node", F.xxhash64("line"))
+    # Words are counted in short lines only.
+    words = F.size(F.split(F.btrim(spaced(F.col("line")), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+"))
+    enough = F.when(F.char_length("line") >= LEAST_CHARS, True).otherwise((F.char_length("line") > 0) & (words >= least_words))
+    return trimmed.where(enough).withColumn("node", F.xxhash64("line"))
 
 
 def signatures(docs: DataFrame, least_words: int) -> DataFrame:
@@ -148,8 +149,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     one node from the start.
 
     Returns the columns of ``docs``, with the text rewritten, and n_lines and
-    n_removed; columns of ``docs`` of these names are replaced.  Lines of fewer
-    than ``least_words`` words stay, as do all newlines between kept lines.  A null
+    n_removed; columns of ``docs`` of these names are replaced.  Lines of both
+    fewer than ``least_words`` words (parted by white space; in scripts without
+    spaces each character is one) and fewer than LEAST_CHARS characters stay, exact
+    copies too, as do all newlines between kept lines.  A null
     text stays null and has 0 lines; a text all of whose lines go is empty.
     Repeated rows (of one id and text) are one document: each row keeps what that
     keeps.  An empty table gives an empty one.

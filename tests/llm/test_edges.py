@@ -285,6 +285,17 @@ def test_line_dedup_against_all_pairs_with_long_words(spark):
     assert {x["doc_id"] for x in out if x["n_removed"] == 0} == set(firsts.values())
 
 
+def test_line_dedup_of_lines_with_few_words_or_other_white_space(spark):
+    lines = [
+        "one\ttwo\tthree\tfour\tfive\tsix", "https://example.org/" + "a0b1c2d3e4" * 300, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo=", "All rights reserved.",
+        "བོད་ཀྱི་སྐད་ཡིག་ནི་བོད་མི་རིགས་ཀྱི", "a\x0bb\x0cc d\te", "日本語の文",
+    ]
+    kept = ["short one", "a b c", "", "日本語"]
+    rows = [(k, "\n".join(lines + kept)) for k in range(3)]
+    out = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: (rows[0][1], 0), 1: ("\n".join(kept), len(lines)), 2: ("\n".join(kept), len(lines))}
+
+
 def test_mixing(spark, docs):
     out = mixing.mix(docs)
     assert set(docs.columns) - {"mix_key"} <= set(out.columns)
