@@ -110,7 +110,7 @@ def calendar_360_day(spark, sf):
 
 @query()
 def str_unicode_functions(spark, sf):
-    x = F.substring("text", 1, 80)
+    x = F.col("text")
     return C.table(spark, sf, "documents").select("doc_id", S.title(x).alias("title"), S.casefold(x).alias("folded"), S.normalize(x, "NFD").alias("nfd"), S.wrap(x, 20).alias("wrapped"), S.swapcase(x).alias("swapped"))
 
 

@@ -260,3 +260,17 @@ def test_streaming_resample(spark, tmp_path):
     q = streaming.append_to(out, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert [r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3.0]
+
+
+def test_unicode_string_functions_take_whole_texts(spark, tmp_path):
+    import textwrap
+    import unicodedata
+
+    from cubeweave.plans import more
+
+    texts = {1: "straße and Éclair words " * 40, 2: "short É", 3: "", 4: None, 5: "x" * 500}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in more.str_unicode_functions(spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]]
+        want = (None,) * 5 if t is None else (t.title(), t.casefold(), unicodedata.normalize("NFD", t), "\n".join(textwrap.wrap(t, 20)), t.swapcase())
+        assert (r["title"], r["folded"], r["nfd"], r["wrapped"], r["swapped"]) == want
