@@ -159,8 +159,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
     more, computed on whole texts.  A class is a component of links; equal texts
     are one node from the start, whatever their number.
 
-    Returns per row ``id_col``, node (the text's digest), class_id (the least id of
-    its class) and class_size (its rows).
+    Returns per row ``id_col``, node (the text's digest), comp (the least node of
+    its class, which names the class even where ids are null or repeat), class_id
+    (the least id of its class) and class_size (its rows).
 
     A null text is in a class of its own (by its id).  Texts without a word have no
     windows: only equal ones share a class.  A text of one to four words is one
@@ -221,9 +222,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
         nulls = rows.where("text IS NULL").select("id", "node")
         placed = signed.select("id", "node").join(known, F.col("node") == F.col("c_node"), "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
         sizes = placed.groupBy(F.col("comp").alias("s_comp")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-        out = placed.join(sizes, F.col("comp") == F.col("s_comp")).select("id", "node", "class_id", "class_size")
+        out = placed.join(sizes, F.col("comp") == F.col("s_comp")).select("id", "node", "comp", "class_id", "class_size")
         alone = nulls.groupBy(F.col("id").alias("n_id")).agg(F.count(F.lit(1)).alias("class_size"))
-        empty = nulls.join(alone, F.col("id").eqNullSafe(F.col("n_id"))).select("id", "node", F.col("id").alias("class_id"), "class_size")
+        empty = nulls.join(alone, F.col("id").eqNullSafe(F.col("n_id"))).select("id", "node", F.lit(None).cast("binary").alias("comp"), F.col("id").alias("class_id"), "class_size")
         return materialise(out.unionByName(empty), "near-result").withColumnRenamed("id", id_col)
 
 
@@ -315,12 +316,15 @@ def block_linker(weigh, similarity: float):
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, less all but one of each near-duplicate class: the one of the least id.
 
-    Of repeated rows one is kept; rows of null text stay.  All columns of ``docs``
-    are returned.
+    A null id is the last choice, and of texts of that id in one class the least
+    node stays.  Of repeated rows one is kept; rows of null text stay.  All columns
+    of ``docs`` are returned.
     """
     found = near_duplicate_classes(docs, similarity, id_col, text_col)
-    held = found.where(F.col("node").isNotNull() & (F.col(id_col) == F.col("class_id"))).select(F.col(id_col).alias("nd_id"), F.col("node").alias("nd_node")).groupBy("nd_id").agg(F.min("nd_node").alias("nd_node"))
+    # Ids may be null or repeat in several classes, so a class is known by its least node and its survivor by id and node.
+    least = found.where(F.col("node").isNotNull() & F.col(id_col).eqNullSafe(F.col("class_id")))
+    held = least.groupBy("comp").agg(F.min("node").alias("nd_node"), F.min("class_id").alias("nd_id")).select("nd_id", "nd_node")
     marked = docs.withColumn("nd_own", F.unhex(F.md5(F.col(text_col).cast("string"))))
-    joined = marked.where("nd_own IS NOT NULL").join(held, (F.col(id_col) == F.col("nd_id")) & (F.col("nd_own") == F.col("nd_node")))
+    joined = marked.where("nd_own IS NOT NULL").join(held, F.col(id_col).eqNullSafe(F.col("nd_id")) & (F.col("nd_own") == F.col("nd_node")))
     first = joined.withColumn("nd_rank", F.row_number().over(Window.partitionBy(F.col(id_col), "nd_own").orderBy(F.lit(0)))).where("nd_rank = 1")
     return first.select(*docs.columns).unionByName(marked.where("nd_own IS NULL").select(*docs.columns))

@@ -224,6 +224,23 @@ def test_near_duplicates_against_all_pairs(spark):
                 assert got[i] != got[j]
 
 
+def test_keep_one_keeps_a_document_of_each_class(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(200)) for c in "ab")
+    near = lambda t: t + " more"
+    rows = [
+        (None, "a unique text that has no number at all"), (None, "a second unique text without a number"),
+        (1, a), (1, b), (2, near(a)), (3, near(b)), (None, near(near(a))),
+        (4, "one id twice, the first text"), (4, "one id twice, another text altogether"), (4, "one id twice, the first text"),
+        (None, "copies with no number"), (None, "copies with no number"), (None, None), (5, None), (6, ""), (7, ""),
+    ]
+    got = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = [(2, near(a)), (3, near(b)), (None, near(near(a))), rows[9], rows[10], (7, "")]
+    want = list(rows)
+    for g in gone:
+        want.remove(g)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_block_linker_finds_what_pairs_do():
     import numpy as np
     import pyarrow as pa
