@@ -45,7 +45,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.prefix_counts(_table(spark, sf_dir, "documents"))
+    return tokens.prefix_counts(_table(spark, sf_dir, "documents"), store=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

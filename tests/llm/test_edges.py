@@ -82,6 +82,21 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_queries_write_ids_and_prefix_counts(spark, tmp_path):
+    import corpus_pipeline
+    import numpy as np
+
+    from cubeweave.llm import queries
+
+    frame = spark.createDataFrame(ROWS, SCHEMA)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op8_token_counts(spark, str(tmp_path)).collect():
+        assert tokens.count_at(np.frombuffer(r["prefix_steps"], "<i2"), len(r["prefix_steps"]) // 2) == r["n_tokens"]
+    for out in (queries.op10_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, frame, str(tmp_path))):
+        for r in out.collect():
+            assert len(r["ids"]) == r["length"] and zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in r["ids"])) == r["ids_crc32"]
+
+
 def test_piece_lengths():
     for n in (1, 2047, 2048, 2049, 10_000):
         parts = packing.piece_lengths(n, 2048)
