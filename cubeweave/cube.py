@@ -7,33 +7,18 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubeweave.functions.math import nn
+from cubeweave.ranges import number
 
 
 class AlignmentError(ValueError):
     """Indexes that had to agree don't."""
 
 
-def number(frame: DataFrame, by: Sequence[Column | str], name: str) -> DataFrame:
-    """Adds ``name``: each row's place, from 0, in the order of ``by``.
-
-    Rows are dealt out by range and numbered inside each partition; a partition's
-    offset comes from a table with one row for each partition.  Nothing passes
-    through a single task.
-    """
-    spread = frame.repartitionByRange(*by).sortWithinPartitions(*by) if len(frame.columns) else frame
-    held = spread.withColumn("__id", F.monotonically_increasing_id())
-    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    counted = held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return held.join(F.broadcast(offsets), part == F.col("__p")).withColumn(name, F.col("__off") + inside).drop("__id", "__p", "__off")
-
-
 @dataclass(frozen=True)
 class Cube:
     """Variables over named dimensions, as one row for each cell that is present.
@@ -53,6 +38,8 @@ class Cube:
     var_attrs: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
     orders: Mapping[str, DataFrame] = field(default_factory=dict)
     spines: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: Indexes made so far: a plan that is named twice is planned, or run, once.
+    _made: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     # -- making and leaving ------------------------------------------------
     @classmethod
@@ -146,10 +133,12 @@ class Cube:
         return self.spines[dim].select(dim) if dim in self.spines else own
 
     def index(self, dim: str) -> DataFrame:
-        """(label, pos): the order of a dimension."""
+        """(label, pos): the order of a dimension.  Runs a job if labels are many (:func:`cubeweave.ranges.number`)."""
         if dim in self.orders:
             return self.orders[dim]
-        return number(self.labels(dim), [F.col(dim)], "pos").select(dim, "pos")
+        if dim not in self._made:
+            self._made[dim] = number(self.labels(dim), [F.col(dim)], "pos").select(dim, "pos")
+        return self._made[dim]
 
     def with_pos(self, dim: str, name: str = "__pos") -> DataFrame:
         """The frame with each row's place along a dimension."""

@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cubeweave import ranges
+from cubeweave.ranges import halo, is_small, number
+
 #: Microseconds of each fixed unit.
 MICROS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "D": 86_400_000_000, "W": 604_800_000_000}
 #: Months of each calendar unit.
@@ -125,8 +128,12 @@ def date_range(spark: SparkSession, start: str, end: str, freq: str, name: str =
 
 def infer_freq(index: DataFrame, name: str) -> str | None:
     """The frequency of an axis, or None if its steps differ.  Runs a job on the index."""
-    w = Window.orderBy(name)
-    steps = index.select(name).distinct().withColumn("__p", F.lag(name).over(w)).where("__p IS NOT NULL")
+    labels = index.select(name).distinct()
+    if is_small(labels):
+        steps = labels.withColumn("__p", F.lag(name).over(Window.orderBy(name))).where("__p IS NOT NULL")
+    else:
+        held = halo(number(labels, [F.col(name)], "__place"), "__place", ranges.BLOCK_ROWS, 1)
+        steps = held.withColumn("__p", F.lag(name).over(Window.partitionBy("block").orderBy("__place"))).where("own AND __p IS NOT NULL")
     both = steps.select((us(F.col(name)) - us(F.col("__p"))).alias("u"), ((F.year(name) - F.year("__p")) * 12 + F.month(name) - F.month("__p")).alias("m"), (F.dayofmonth(name) == F.dayofmonth("__p")).alias("same"))
     r = both.agg(F.min("u"), F.max("u"), F.min("m"), F.max("m"), F.every("same")).first()
     if r[0] is None:

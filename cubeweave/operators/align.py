@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeweave.cube import AlignmentError, Cube
-
-#: With as-of lookups that have no other key, labels are cut into ranges of about so many rows.
-ASOF_ROWS = 1_000_000
+from cubeweave.ranges import dealt, is_small
 
 
 def fingerprint(cube: Cube, dim: str) -> tuple:
@@ -93,30 +91,34 @@ def asof(targets: DataFrame, sources: DataFrame, key: str, method: str = "pad",
     pad takes the last at or before, backfill the first at or after, nearest the
     closer (the greater on a tie); within ``tolerance`` if given.  Both sides are
     put in one ordered stream and a window carries the last or next source along.
-    Without ``by``, the stream is cut into ranges of keys; each range takes over
-    the nearest source before and after it, so no task sees all rows.
+    Beyond small frames the stream is dealt out by range of ``by`` and key, once (a
+    job), and each range takes over the nearest source before and after it, so
+    neither one key nor all rows meet in one task.  A null key finds nothing.
     """
     method = {"ffill": "pad", "bfill": "backfill"}.get(method, method)
     by = list(by)
     s = sources.select(*by, F.col(key).alias("__k"), F.col(key).alias("__s"), F.lit(0).alias("__t")).distinct()
     t = targets.withColumn("__k", F.col(key)).withColumn("__t", F.lit(1))
     stream = s.unionByName(t, allowMissingColumns=True)
-    if by:
+    whole = is_small(sources) and is_small(targets)
+    if whole:
         part = by
     else:
-        spread = stream.repartitionByRange(F.col("__k"))
-        stream = spread.withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33))
-        part = ["__part"]
+        stream = dealt(stream, [*by, "__k", "__t"])
+        part = [*by, "__part"]
     back = Window.partitionBy(*part).orderBy("__k", "__t").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*part).orderBy("__k", F.col("__t").desc()).rowsBetween(0, Window.unboundedFollowing)
     low, high = F.last("__s", ignorenulls=True).over(back), F.first("__s", ignorenulls=True).over(ahead)
     out = stream.withColumn("__low", low).withColumn("__high", high)
-    if not by:
-        # One row for each range: its last and first source, and from these those of the ranges around it.
-        ends = stream.groupBy("__part").agg(F.max("__s").alias("__last"), F.min("__s").alias("__first"))
-        w = Window.orderBy("__part")
-        around = ends.select("__part", F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-        out = out.join(F.broadcast(around), "__part").withColumn("__low", F.coalesce("__low", "__before")).withColumn("__high", F.coalesce("__high", "__after"))
+    if not whole:
+        # One row for each range (of a key): its last and first source, and from these those of the ranges around it.
+        ends = stream.groupBy(*part).agg(F.max("__s").alias("__last"), F.min("__s").alias("__first"))
+        w = Window.partitionBy(*by).orderBy("__part")
+        around = ends.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__part").alias("__p"), F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+        # Only keys that lie in several ranges take anything over; of ranges cut inside a key there are fewer than ranges.
+        around = around.where(F.col("__before").isNotNull() | F.col("__after").isNotNull())
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{k}")) for k, c in enumerate(by)], F.col("__part") == F.col("__p"))
+        out = out.join(F.broadcast(around), same, "left").withColumn("__low", F.coalesce("__low", "__before")).withColumn("__high", F.coalesce("__high", "__after"))
     numeric = dict(sources.dtypes)[key] in ("double", "float", "int", "bigint", "smallint", "tinyint") or dict(sources.dtypes)[key].startswith("decimal")
     gap = (lambda x, y: x - y) if numeric else (lambda x, y: F.timestamp_diff("MICROSECOND", y.cast("timestamp_ntz"), x.cast("timestamp_ntz")))
     k = F.col("__k")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cubeweave.cube import Cube
 from cubeweave.functions.dates import us
 from cubeweave.functions.math import ratio
+from cubeweave.operators.window import nearest_values, running
+from cubeweave import ranges
+from cubeweave.ranges import dealt, halo, is_small, number, scan
 
 
 def axis(cube: Cube, dim: str) -> Column:
@@ -21,8 +24,9 @@ def axis(cube: Cube, dim: str) -> Column:
 def interp(cube: Cube, dim: str, targets: DataFrame | Sequence[Any], method: str = "linear") -> Cube:
     """Values at new labels: linear between the labels around them, or nearest; missing outside.
 
-    Targets and labels go through one ordered window per series, which carries
-    the last value before and the next one after.
+    Targets and labels go through an ordered window per series, which carries the
+    last value before and the next one after; beyond small frames, through ranges
+    of it (a job).
     """
     spark = cube.frame.sparkSession
     wanted = targets.select(dim) if isinstance(targets, DataFrame) else spark.createDataFrame([(x,) for x in targets], cube.frame.select(dim).schema)
@@ -30,14 +34,21 @@ def interp(cube: Cube, dim: str, targets: DataFrame | Sequence[Any], method: str
     grid = wanted.crossJoin(cube.frame.select(*rest).distinct()) if rest else wanted
     both = cube.frame.select(dim, *rest, *cube.names).withColumn("__t", F.lit(0)).unionByName(grid.withColumn("__t", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("__x", axis(cube, dim))
-    w = Window.partitionBy(*rest).orderBy("__x", "__t")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*rest).orderBy("__x", F.col("__t").desc()).rowsBetween(0, Window.unboundedFollowing)
-    out = {}
-    for n in cube.names:
-        held = F.when(F.col(n).isNotNull(), F.struct(F.col("__x").alias("x"), F.col(n).cast("double").alias("y")))
-        a, b = F.last(held, ignorenulls=True).over(back), F.first(held, ignorenulls=True).over(ahead)
-        out[f"__a_{n}"], out[f"__b_{n}"] = a, b
-    both = both.withColumns(out)
+    held = {n: F.when(F.col(n).isNotNull(), F.struct(F.col("__x").alias("x"), F.col(n).cast("double").alias("y"))) for n in cube.names}
+    part = rest
+    whole = is_small(cube.frame) and is_small(wanted)
+    if not whole:
+        # Ranges of a series, dealt out once, hand over their last and first values.
+        both = dealt(both, [*rest, "__x", "__t"])
+        part = [*rest, "__part"]
+    w = Window.partitionBy(*part)
+    back, ahead = w.orderBy("__x", "__t").rowsBetween(Window.unboundedPreceding, 0), w.orderBy("__x", F.col("__t").desc()).rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumns({f"__h_{n}": c for n, c in held.items()})
+    both = both.withColumns({f"__a_{n}": F.last(f"__h_{n}", ignorenulls=True).over(back) for n in held} | {f"__b_{n}": F.first(f"__h_{n}", ignorenulls=True).over(ahead) for n in held})
+    if not whole:
+        both = scan(both, rest, {f"__ca_{n}": F.max(f"__h_{n}") for n in held}, F.max, block="__part")
+        both = scan(both, rest, {f"__cb_{n}": F.min(f"__h_{n}") for n in held}, F.min, block="__part", reverse=True)
+        both = both.withColumns({f"__a_{n}": F.coalesce(f"__a_{n}", f"__ca_{n}") for n in held} | {f"__b_{n}": F.coalesce(f"__b_{n}", f"__cb_{n}") for n in held})
 
     def value(n: str) -> Column:
         a, b, x = F.col(f"__a_{n}"), F.col(f"__b_{n}"), F.col("__x")
@@ -94,12 +105,11 @@ def interpolate_na(cube: Cube, dim: str, method: str = "linear", limit: int | No
     """Fill missing values between present ones; at most ``limit`` in a row, and only gaps of up to ``max_gap`` along the coordinate."""
     rest = cube.rest(dim)
     frame = cube.with_pos(dim).withColumn("__x", axis(cube, dim) if use_coordinate else F.col("__pos").cast("double"))
-    w = Window.partitionBy(*rest).orderBy("__pos")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    held = {n: F.when(F.col(n).isNotNull(), F.struct(F.col("__pos").alias("p"), F.col("__x").alias("x"), F.col(n).cast("double").alias("y"))) for n in cube.names}
+    frame = nearest_values(frame, rest, held, is_small(cube.frame))
     out = {}
     for n in cube.names:
-        held = F.when(F.col(n).isNotNull(), F.struct(F.col("__x").alias("x"), F.col(n).cast("double").alias("y"), F.col("__pos").alias("p")))
-        a, b = F.last(held, ignorenulls=True).over(back), F.first(held, ignorenulls=True).over(ahead)
+        a, b = F.col(f"__last_{n}"), F.col(f"__next_{n}")
         x = F.col("__x")
         share = F.try_divide(x - a["x"], b["x"] - a["x"])
         value = a["y"] + (b["y"] - a["y"]) * share if method == "linear" else F.when(x - a["x"] <= b["x"] - x, a["y"]).otherwise(b["y"])
@@ -115,8 +125,7 @@ def interpolate_na(cube: Cube, dim: str, method: str = "linear", limit: int | No
 def differentiate(cube: Cube, dim: str, edge_order: int = 1) -> Cube:
     """Second-order differences on uneven labels; one-sided at the ends, of first or second order."""
     rest = cube.rest(dim)
-    frame = cube.with_pos(dim).withColumn("__x", axis(cube, dim))
-    w = Window.partitionBy(*rest).orderBy("__pos")
+    frame, w = _rows(cube, dim, 2)
     x = F.col("__x")
     lag = lambda c, k=1: F.lag(c, k).over(w)
     lead = lambda c, k=1: F.lead(c, k).over(w)
@@ -133,14 +142,28 @@ def differentiate(cube: Cube, dim: str, edge_order: int = 1) -> Cube:
             g1, g2 = lag("__x") - lag("__x", 2), x - lag("__x")
             last = g2 / (g1 * (g1 + g2)) * lag(f, 2) - (g2 + g1) / (g1 * g2) * lag(f) + (2 * g2 + g1) / (g2 * (g1 + g2)) * f
         out[n] = F.when(lag("__x").isNull(), first).when(lead("__x").isNull(), last).otherwise(middle)
-    return cube.with_frame(frame.withColumns(out))
+    return cube.with_frame(frame.withColumns(out).where("own"))
+
+
+def _rows(cube: Cube, dim: str, reach: int) -> tuple[DataFrame, Any]:
+    """The frame with its axis as ``__x``, and a window for lag and lead of up to ``reach`` rows of a series; rows with ``own`` false go after it.
+
+    Neighbours are those among a series' rows, however far their positions are, so
+    beyond small frames blocks are of numbered rows.
+    """
+    rest = cube.rest(dim)
+    if is_small(cube.frame):
+        frame = cube.with_pos(dim).withColumn("__x", axis(cube, dim)).withColumn("own", F.lit(True))
+        return frame, Window.partitionBy(*rest).orderBy("__pos")
+    held, order = (cube.with_pos(dim, "__old"), "__old") if dim in cube.orders else (cube.frame, dim)
+    frame = number(held.withColumn("__x", axis(cube, dim)), [*rest, F.col(order)], "__pos")
+    return halo(frame, "__pos", ranges.BLOCK_ROWS, reach, reach), Window.partitionBy(*rest, "block").orderBy("__pos")
 
 
 def _trapezoids(cube: Cube, dim: str) -> DataFrame:
-    frame = cube.with_pos(dim).withColumn("__x", axis(cube, dim))
-    w = Window.partitionBy(*cube.rest(dim)).orderBy("__pos")
+    frame, w = _rows(cube, dim, 1)
     step = F.col("__x") - F.lag("__x").over(w)
-    return frame.withColumns({n: F.coalesce((F.col(n) + F.lag(n).over(w)) / 2 * step, F.lit(0.0)) for n in cube.names})
+    return frame.withColumns({n: F.coalesce((F.col(n) + F.lag(n).over(w)) / 2 * step, F.lit(0.0)) for n in cube.names}).where("own")
 
 
 def integrate(cube: Cube, dim: str) -> Cube:
@@ -151,8 +174,8 @@ def integrate(cube: Cube, dim: str) -> Cube:
 
 def cumulative_integrate(cube: Cube, dim: str) -> Cube:
     """Running trapezoid rule, from 0."""
-    w = Window.partitionBy(*cube.rest(dim)).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    return cube.with_frame(_trapezoids(cube, dim).withColumns({n: F.sum(n).over(w) for n in cube.names}))
+    frame, values, _ = running(cube.with_frame(_trapezoids(cube, dim)), dim, "sum", {n: F.col(n) for n in cube.names})
+    return cube.with_frame(frame.withColumns(values))
 
 
 def polyfit(cube: Cube, dim: str, degree: int) -> Cube:

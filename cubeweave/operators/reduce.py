@@ -67,9 +67,11 @@ def reduce(cube: Cube, name: str, dims: str | Sequence[str] | None = None, skipn
 
 def cumulate(cube: Cube, name: str, dim: str) -> Cube:
     """cumsum or cumprod along a dimension; missing counts as 0 or 1."""
-    w = Window.partitionBy(*cube.rest(dim)).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    one = (lambda c: F.sum(F.coalesce(c, F.lit(0))).over(w)) if name == "cumsum" else (lambda c: F.product(F.coalesce(c, F.lit(1))).over(w))
-    return cube.with_frame(cube.with_pos(dim).withColumns({n: one(F.col(n)) for n in cube.names}))
+    from cubeweave.operators.window import running
+
+    none = F.lit(0 if name == "cumsum" else 1)
+    frame, values, _ = running(cube, dim, "sum" if name == "cumsum" else "prod", {n: F.coalesce(F.col(n), none) for n in cube.names})
+    return cube.with_frame(frame.withColumns(values))
 
 
 def quantile(cube: Cube, q: float | Sequence[float], dims: str | Sequence[str] | None = None, method: str = "linear") -> Cube:
