@@ -1,141 +1,235 @@
 """Fuzzy line deduplication (op 6).
 
-Only DataFrame functions: nothing here runs Python on the executors.
+Signatures, exact comparisons and blocks run as Arrow batches in numpy; README has
+the figures of the DataFrame-only form that they replace.  Grouping, joins and
+union-find are DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.llm._clusters import classes
 from cubeweave.llm._scratch import materialise, released_shuffles
+from cubeweave.llm._shingles import mixed
+from cubeweave.llm.tokens import slices
 
 #: Characters of a shingle, and the least share of shingles that two lines must have in common.
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
 #: Lines of both fewer words and fewer characters are too short to tell a copy from chance; they are always kept.
 LEAST_WORDS, LEAST_CHARS = 5, 2 * SHINGLE_CHARS
-#: At a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**6 < 0.0022.
+#: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**2)**6 < 0.0022.
 BANDS, ROWS = 6, 2
+#: Of all samples (those of the bands come first) a pair has to agree in LEAST_AGREEING to be compared exactly:
+#: at a similarity of 0.8 it doesn't with probability P(Binomial(32, 0.8) < 16) < 0.0001.
+SAMPLES, LEAST_AGREEING = 32, 16
 #: Lines beyond the pivots are compared in blocks of about so many lines and characters.
-BLOCK_LINES, BLOCK_CHARS = 256, 400_000
-SPACES = " \t\n\x0b\x0c\r"
-#: Scripts that write without spaces: each character begins a shingle of its own.
-UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
-
-
-def _constant(k: int) -> int:
-    """A fixed 64-bit number for sample k, as a signed one."""
-    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
-    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
-    x ^= x >> 31
-    return x - (1 << 64) if x >> 63 else x
+BLOCK_LINES, BLOCK_CHARS = 512, 800_000
+#: Text that is hashed at once: its arrays stay in a core's cache.
+SLICE_BYTES = 256_000
+SPACES = b" \t\n\x0b\x0c\r"
+#: Scripts that write without spaces: each character counts as a word of a short line.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+#: Keeps the last window of one line off the next.
+GAP = "\0" * (SHINGLE_CHARS - 1)
+_BASE = 0x9E3779B97F4A7C15
+#: One random order of all shingle hashes for each sample: exclusive or with a fixed number.
+ORDERS = (mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(_BASE)) >> np.uint64(32)).astype(np.uint32)
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th (a hash of the text) and text; rows of both equal are one document."""
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    """id, th (a hash of the text) and text as bytes; rows of both equal are one document."""
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
 
 
-def spaced(line: Column) -> Column:
-    """The line, with a space before each character of the scripts that write none."""
-    return F.when(F.octet_length(line) > 1.3 * F.char_length(line), F.regexp_replace(line, UNSPACED, " $1")).otherwise(line)
+def line_filter(least_words: int):
+    """Whether a trimmed line counts: it has LEAST_CHARS characters, or ``least_words`` words."""
+    import regex
 
+    words = regex.compile(f"[{UNSPACED}]|[^ \\t\\n\\x0b\\x0c\\r{UNSPACED}]+").findall
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Every line: id, th, pos (from 0), line; lines are what newlines part."""
-    return docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    def counts(line: bytes) -> bool:
+        if len(line) >= 4 * LEAST_CHARS:
+            return True
+        text = line.decode()
+        return len(text) >= LEAST_CHARS or (len(text) > 0 and len(words(text)) >= least_words)
 
+    return counts
 
-def long_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """Lines of at least ``least_words`` words, parted by any of SPACES, or LEAST_CHARS characters; ``node`` is a 64-bit hash of the trimmed line."""
-    # A line of n words has 2 n - 1 bytes at least: short ones need no look.
-    some = lines(docs).where(F.octet_length("line") >= min(2 * least_words - 1, LEAST_CHARS))
-    trimmed = some.select("id", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("line"))
-    # Words are counted in short lines only.
-    words = F.size(F.split(F.btrim(spaced(F.col("line")), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+"))
-    enough = F.when(F.char_length("line") >= LEAST_CHARS, True).otherwise((F.char_length("line") > 0) & (words >= least_words))
-    return trimmed.where(enough).withColumn("node", F.xxhash64("line"))
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, and alternately where each line's begin and end; a shorter line is one shingle.
 
-def signatures(docs: DataFrame, least_words: int) -> DataFrame:
-    """Per distinct line: node and the keys of its bands.
-
-    The samples are over all of a line's shingles, as the exact comparison is.  One
-    hash of each shingle and a constant per sample give the sample's order
-    (exclusive or of the two); the least is the sample.
+    Between two lines stand windows that cross from one to the next and belong to none.
     """
-    units = long_lines(docs, least_words).select("node", F.encode("line", "UTF-16BE").alias("units"))
-    last = F.greatest(F.octet_length("units") / 2 - SHINGLE_CHARS, F.lit(0)).cast("int")
-    each = units.select("node", "units", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    hashed = each.select("node", F.xxhash64(F.substring(F.col("units"), 2 * F.col("at") + 1, F.lit(2 * SHINGLE_CHARS))).alias("h"))
-    least = hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("node", F.array(*keys).alias("keys"))
-
-
-def shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
-    """Hashes of all distinct shingles of a line, by UTF-16 units; a shorter line is one shingle."""
-    def made(units: Column) -> Column:
-        n = F.octet_length(units) / 2 - size
-        starts = F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * size)))))
-
-    # As a variable of a function, the encoded line is made once and not again at each place.
-    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), made), F.lit(0))
-
-
-def alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two lines' Jaccard similarity over all character shingles reaches ``similarity``; each set is made once."""
-    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
-    return F.get(F.transform(sets, lambda s: _enough(s["a"], s["b"], similarity)), F.lit(0))
-
-
-def _enough(a: Column, b: Column, similarity: float) -> Column:
-    shared = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n >= similarity * (F.size(a) + F.size(b) - n))
-    # The smaller set bounds what two sets can share.
-    return (F.least(F.size(a), F.size(b)) >= similarity * F.greatest(F.size(a), F.size(b))) & F.get(shared, F.lit(0))
-
-
-def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose exact similarity reaches ``similarity``."""
-    second = texts.select(F.col("node").alias("y_node"), F.col("line").alias("y_line"))
-    first = texts.select(F.col("node").alias("x_node"), F.col("line").alias("x_line"))
-    both = pairs.join(second, F.col("v") == F.col("y_node")).join(first, F.col("u") == F.col("x_node"))
-    return both.where(alike(F.col("x_line"), F.col("y_line"), similarity)).select("u", "v")
-
-
-def block_links(rest: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links that make all components of (key, node, comp), found in pairs of blocks of each bucket.
-
-    Each line looks through the other block for lines of components that it has
-    no link to yet; a pair that shares several buckets is tested in the first.  So
-    a line returns no more links than there are components like it, not lines.
+    chars = np.frombuffer((GAP.join(lines) + GAP + GAP).encode("utf-32-le", "surrogatepass"), "<u4")
+    x = chars.astype(np.uint64) + np.uint64(1)
+    for width in (1, 2, 4):
+        # Hashes of windows of 2, 4 and 8 characters, each from two of half the width.
+        x = x[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + x[width:]
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.concatenate(([0], np.cumsum(n[:-1] + len(GAP)))) if len(n) else n
+    limits = np.empty(2 * len(n), np.int64)
+    limits[::2], limits[1::2] = starts, starts + np.maximum(1, n - SHINGLE_CHARS + 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x, limits
+
+
+def samples(hashes: np.ndarray, limits: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """The first ``n`` MinHash samples: a row for each line."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(limits) // 2, n), np.uint32)
+    for k, c in enumerate(ORDERS[:n]):
+        out[:, k] = np.minimum.reduceat(high ^ c, limits)[::2]
+    return out
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each line, from its first samples; keys of different bands differ."""
+    keys = np.zeros((len(found), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        b = k // ROWS
+        keys[:, b] = mixed(keys[:, b] * np.uint64(31) + found[:, k] + np.uint64(b + 1))
+    return keys.view(np.int64)
+
+
+def sign(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line that counts: id, th, pos, node (a 64-bit hash of the trimmed line); its keys and itself at its first place in a slice."""
+    import xxhash
+
+    counts, digest = line_filter(least_words), xxhash.xxh64_intdigest
+    for batch in batches:
+        for first, texts in slices(batch, size=SLICE_BYTES):
+            rows, places, nodes, seen, known, lines = [], [], [], {}, [], []
+            for row, text in enumerate(texts, first):
+                for pos, line in enumerate(text.split(b"\n")):
+                    line = line.strip(SPACES)
+                    if not counts(line):
+                        continue
+                    node = seen.get(line)
+                    known.append(node is not None)
+                    if node is None:
+                        node = seen[line] = digest(line)
+                        lines.append(line)
+                    rows.append(row)
+                    places.append(pos)
+                    nodes.append(node)
+            if not rows:
+                continue
+            keys = band_keys(samples(*shingle_hashes([x.decode() for x in lines]), BANDS * ROWS))
+            at = pa.array(rows, pa.int64())
+            ends = np.concatenate(([0], np.cumsum(np.where(known, 0, BANDS))))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+            own = np.full(len(rows), None, object)
+            own[~np.array(known)] = lines
+            cols = [batch.column("id").take(at), batch.column("th").take(at), pa.array(places, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "pos", "node", "keys", "line"])
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending arrays of distinct hashes share ``similarity`` of their union."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
+
+
+class Shingles(dict):
+    """The distinct shingles of a line, ascending; made when first asked for."""
+
+    def __init__(self, hashes: np.ndarray, limits: np.ndarray) -> None:
+        self.hashes, self.limits = hashes, limits
+
+    def __missing__(self, line: int) -> np.ndarray:
+        own = self[line] = np.unique(self.hashes[self.limits[2 * line] : self.limits[2 * line + 1]])
+        return own
+
+
+def linker(similarity: float):
+    """Keeps the pairs (u, v) whose lines' Jaccard similarity over all shingles reaches ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                # A pivot comes again and again: each text is hashed once.
+                at: dict[int, int] = {}
+                lines: list[str] = []
+                sides = []
+                for ids, texts in ((0, 2), (1, 3)):
+                    side = []
+                    column = part.column(texts)
+                    for k, node in enumerate(part.column(ids).to_pylist()):
+                        if node not in at:
+                            at[node] = len(lines)
+                            lines.append(column[k].as_py().decode())
+                        side.append(at[node])
+                    sides.append(side)
+                hashes, limits = shingle_hashes(lines)
+                found = samples(hashes, limits)
+                near = (found[sides[0]] == found[sides[1]]).sum(axis=1) >= LEAST_AGREEING
+                sets = Shingles(hashes, limits)
+                linked = [bool(k) and jaccard_reaches(sets[u], sets[v], similarity) for k, u, v in zip(near, *sides, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def block_linker(similarity: float):
+    """Links among the lines of one pair of blocks of a bucket that join components.
+
+    Of a pair that shares several buckets only the first counts.  A pair that is
+    linked already, by what was found so far, needs no test, so a block pair returns
+    no more links than it has lines.
     """
-    known = texts.join(sketches, "node").select(F.col("node").alias("t_node"), "line", "keys")
-    sized = rest.select(F.col("key").alias("g"), "node", "comp").join(known, F.col("node") == F.col("t_node"))
-    blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.char_length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        nodes, comps, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
+        lines = [x.decode() for x in table.column("line").to_pylist()]
+        n = len(nodes)
+        hashes, limits = shingle_hashes(lines)
+        found = samples(hashes, limits)
+        keys, sets = band_keys(found), Shingles(hashes, limits)
+        band = int(np.flatnonzero((keys == bucket).any(axis=0))[0])
+        label = np.unique(comps, return_inverse=True)[1]
+        inside = key[1].as_py() == key[2].as_py()
+        us, vs = [], []
+        for i in range(n - 1):
+            near = (found[i + 1 :] == found[i]).sum(axis=1) >= LEAST_AGREEING
+            near &= label[i + 1 :] != label[i]
+            if not inside:
+                near &= own[i + 1 :] != own[i]
+            for b in range(band):
+                near &= keys[i + 1 :, b] != keys[i, b]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if label[j] != label[i] and jaccard_reaches(sets[i], sets[j], similarity):
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that make all components of (key, node, comp), found in pairs of blocks of each bucket."""
+    sized = rest.select(F.col("key").alias("g"), "node", "comp").join(texts.select(F.col("node").alias("t_node"), F.length("line").alias("size")), F.col("node") == F.col("t_node")).select("g", "node", "comp", "size")
+    blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum("size") / BLOCK_CHARS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.struct("node", "comp", "own", "line", "keys")
-    pairs = dealt.groupBy("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(member).alias("ms"))
-
-    def partners(members: Column, x: Column) -> Column:
-        def near(y: Column) -> Column:
-            first = F.get(F.filter(F.zip_with(x["keys"], y["keys"], lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
-            return (first == F.col("g")) & _enough(x["set"], y["set"], similarity)
-
-        def step(found: Column, y: Column) -> Column:
-            new = (y["node"] > x["node"]) & (y["comp"] != x["comp"]) & ((F.col("a") == F.col("b")) | (y["own"] != x["own"])) & ~F.array_contains(F.transform(found, lambda f: f["c"]), y["comp"])
-            return F.when(new, F.when(near(y), F.concat(found, F.array(F.struct(x["node"].alias("u"), y["node"].alias("v"), y["comp"].alias("c"))))).otherwise(found)).otherwise(found)
-
-        return F.aggregate(members, F.array().cast("array<struct<u:bigint,v:bigint,c:bigint>>"), step)
-
-    # As a variable of a function, the lines with their sets are made once for a pair of blocks.
-    with_sets = F.transform("ms", lambda m: F.struct(*[m[c].alias(c) for c in ("node", "comp", "own", "keys")], shingles(m["line"]).alias("set")))
-    found = F.get(F.transform(F.array(with_sets), lambda ms: F.flatten(F.transform(ms, lambda x: partners(ms, x)))), F.lit(0))
-    return materialise(pairs.select(F.inline(found)).select("u", "v").distinct(), "line-block-links")
+    dealt = dealt.select("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "comp", "own")
+    full = dealt.join(texts.select(F.col("node").alias("t_node"), "line"), F.col("node") == F.col("t_node")).select("g", "a", "b", "node", "comp", "own", "line")
+    return materialise(full.groupBy("g", "a", "b").applyInArrow(block_linker(similarity), "u bigint, v bigint"), "line-block-links")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,36 +249,37 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     copies too, as do all newlines between kept lines.  A null
     text stays null and has 0 lines; a text all of whose lines go is empty.
     Repeated rows (of one id and text) are one document: each row keeps what that
-    keeps.  An empty table gives an empty one.
+    keeps.  A null id comes before all others.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed")
     base = documents(docs, id_col, text_col)
+    kind = base.schema["id"].dataType.simpleString()
     with released_shuffles(spark):
-        places = materialise(long_lines(base, least_words).select("id", "th", "pos", "node"), "line-places")
-        signed = materialise(signatures(base, least_words), "line-signatures")
+        schema = f"id {kind}, th bigint, pos int, node bigint, keys array<bigint>, line binary"
+        signed = materialise(base.mapInArrow(lambda batches: sign(batches, least_words), schema), "line-signatures")
+        places = signed.select("id", "th", "pos", "node")
+        texts = signed.where("line IS NOT NULL")
         # A node's keys differ, for each hash begins with its band.
-        buckets = signed.select("node", F.explode("keys").alias("key"))
+        buckets = texts.select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
         kept: list[DataFrame] = []
 
         def fetch(wanted: DataFrame) -> None:
-            """Keep the candidates' lines, once for each, from their first place."""
-            found = places.join(wanted.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node"), "left_semi")
-            firsts = found.groupBy("node").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
-            by_doc = firsts.groupBy(F.col("at.id").alias("p_id"), F.col("at.th").alias("p_th")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "node")).alias("ps"))
-            # The lists are the small side: a hash table of them spares sorting the texts.
-            held = base.join(by_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
-            each = held.select(F.split("text", "\n").alias("ls"), F.explode("ps").alias("p"))
-            kept.append(materialise(each.select("p.node", F.btrim(F.get("ls", F.col("p.pos")), F.lit(SPACES)).alias("line")), "line-texts"))
-            kept.append(materialise(signed.select("node", "keys").join(wanted, "node", "left_semi"), "line-sketches"))
+            """Keep the candidates' lines, once for each."""
+            found = texts.select("node", "line").join(wanted.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node"), "left_semi")
+            kept.append(materialise(found.groupBy("node").agg(F.first("line").alias("line")), "line-texts"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return materialise(links(pairs, kept[0], similarity), "line-links")
+            second = kept[0].select(F.col("node").alias("y_node"), F.col("line").alias("y_line"))
+            first = kept[0].select(F.col("node").alias("x_node"), F.col("line").alias("x_line"))
+            both = pairs.join(second, F.col("v") == F.col("y_node")).join(first, F.col("u") == F.col("x_node")).select("u", "v", "x_line", "y_line")
+            return materialise(both.mapInArrow(linker(similarity), "u bigint, v bigint"), "line-links")
 
-        found = classes(buckets, verify, lambda rest: block_links(rest, kept[1], kept[0], similarity), "line", fetch, grouped=False)
+        found = classes(buckets, verify, lambda rest: block_links(rest, kept[0], similarity), "line", fetch, grouped=False)
         known = found.select(F.col("node").alias("c_node"), "comp")
         placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
-        firsts = placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written first, so that the join is of two plain shuffles, whose hot components Spark can split.
+        firsts = materialise(placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f_comp", "at"), "line-firsts")
         later = placed.join(firsts, F.col("comp") == F.col("f_comp")).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("at")))
         gone = materialise(later.groupBy(F.col("id").alias("ld__id"), F.col("th").alias("ld__th")).agg(F.collect_set("pos").alias("ld__gone")), "line-gone")
     marked = docs.withColumn("ld__own", F.xxhash64(text_col))
@@ -192,6 +287,6 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     ls = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "ld__gone")
     text = F.when(F.col("ld__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls))
-    n_removed = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("ld__gone")), F.lit(0))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("bigint").alias("n_lines"), F.when(F.col("ld__gone").isNull(), 0).otherwise(n_removed).cast("bigint").alias("n_removed"))
+    # Newlines and one: only texts that change are split.
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("bigint").alias("n_lines"), F.when(F.col("ld__gone").isNull(), 0).otherwise(F.size("ld__gone")).cast("bigint").alias("n_removed"))
