@@ -60,8 +60,10 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     the component of buckets that overlap and ``size`` its nodes, and returns
     links (u, v) that make all remaining components.
     """
-    sizes = buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(buckets.join(sizes, F.col("key") == F.col("k")).select("key", "node", "n"), f"{label}-members")
+    # Dealt out once: the count, which reads both columns too, and the join share this shuffle.
+    spread = buckets.repartition("key")
+    sizes = spread.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1 AND low IS NOT NULL")
+    members = materialise(spread.join(sizes.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "n"), f"{label}-members")
     company = members.groupBy(F.col("node").alias("c_node")).agg(F.sum("n").alias("company"))
     if candidates is not None:
         candidates(members.select("node").distinct())

@@ -8,9 +8,11 @@ union-find are DataFrame functions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from cubeweave.llm.tokens import slices
 SHINGLE_CHARS, SIMILARITY = 8, 0.8
 #: Lines of both fewer words and fewer characters are too short to tell a copy from chance; they are always kept.
 LEAST_WORDS, LEAST_CHARS = 5, 2 * SHINGLE_CHARS
-#: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**2)**6 < 0.0022.
-BANDS, ROWS = 6, 2
+#: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**3)**9 < 0.0016.
+BANDS, ROWS = 9, 3
 #: Of all samples (those of the bands come first) a pair has to agree in LEAST_AGREEING to be compared exactly:
 #: at a similarity of 0.8 it doesn't with probability P(Binomial(32, 0.8) < 16) < 0.0001.
 SAMPLES, LEAST_AGREEING = 32, 16
@@ -184,39 +186,86 @@ def linker(similarity: float):
     return run
 
 
+@cache
+def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def block_linker(similarity: float):
-    """Links among the lines of one pair of blocks of a bucket that join components.
+    """Links among the lines of pairs of blocks that join components.
 
-    Of a pair that shares several buckets only the first counts.  A pair that is
-    linked already, by what was found so far, needs no test, so a block pair returns
-    no more links than it has lines.
+    Rows (g, a, b, node, comp, own, line) come in the order of g, a, b: bucket and
+    blocks.  Several pairs of blocks are looked through at once.  Of a pair of lines
+    that shares several buckets only the first counts, and one that is linked
+    already, by what was found so far, needs no test, so a pair of blocks returns no
+    more links than it has lines.
     """
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        nodes, comps, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
-        lines = [x.decode() for x in table.column("line").to_pylist()]
-        n = len(nodes)
-        hashes, limits = shingle_hashes(lines)
-        found = samples(hashes, limits)
-        keys, sets = band_keys(found), Shingles(hashes, limits)
-        band = int(np.flatnonzero((keys == bucket).any(axis=0))[0])
-        label = np.unique(comps, return_inverse=True)[1]
-        inside = key[1].as_py() == key[2].as_py()
+    def found_in(rows: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        nodes, comps, own, bucket = (rows.column(c).to_numpy() for c in ("node", "comp", "own", "g"))
+        distinct, at, line = np.unique(nodes, return_index=True, return_inverse=True)
+        hashes, limits = shingle_hashes([x.decode() for x in rows.column("line").take(pa.array(at)).to_pylist()])
+        found, sets = samples(hashes, limits), Shingles(hashes, limits)
+        keys = band_keys(found)
+        inside = rows.column("a").to_numpy() == rows.column("b").to_numpy()
         us, vs = [], []
-        for i in range(n - 1):
-            near = (found[i + 1 :] == found[i]).sum(axis=1) >= LEAST_AGREEING
-            near &= label[i + 1 :] != label[i]
-            if not inside:
-                near &= own[i + 1 :] != own[i]
-            for b in range(band):
-                near &= keys[i + 1 :, b] != keys[i, b]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                if label[j] != label[i] and jaccard_reaches(sets[i], sets[j], similarity):
-                    us.append(nodes[i])
-                    vs.append(nodes[j])
-                    label[label == label[j]] = label[i]
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        root: dict[tuple[int, int], int] = {}
+        firsts, seconds, groups = [], [], []
+        for k, (x, y) in enumerate(zip([0, *ends], ends)):
+            i, j = pairs_of(y - x)
+            firsts.append(i + x)
+            seconds.append(j + x)
+            groups.append(np.full(len(i), k))
+        i, j, group = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(groups)
+        open_ = (comps[i] != comps[j]) & (inside[i] | (own[i] != own[j]))
+        i, j, group = i[open_], j[open_], group[open_]
+        for k in range(0, len(i), 1 << 15):
+            x, y, g = i[k : k + (1 << 15)], j[k : k + (1 << 15)], group[k : k + (1 << 15)]
+            near = np.flatnonzero((found[line[x]] == found[line[y]]).sum(axis=1) >= LEAST_AGREEING)
+            x, y, g = x[near], y[near], g[near]
+            same = keys[line[x]] == keys[line[y]]
+            first = keys[line[x], same.argmax(axis=1)] == bucket[x]
+            for p, q, h in zip(x[first].tolist(), y[first].tolist(), g[first].tolist()):
+                c, d = (h, int(comps[p])), (h, int(comps[q]))
+                c, d = (h, leader(root, c)), (h, leader(root, d))
+                if c != d and jaccard_reaches(sets[int(line[p])], sets[int(line[q])], similarity):
+                    us.append(nodes[p])
+                    vs.append(nodes[q])
+                    root[d] = c[1]
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    def leader(root: dict[tuple[int, int], int], c: tuple[int, int]) -> int:
+        while c in root:
+            c = (c[0], root[c])
+        return c[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ends = group_ends(held)
+            done = ends[-2] if len(ends) > 1 else 0
+            yield from whole(held.slice(0, done), ends[:-1])
+            held = held.slice(done).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from whole(held, group_ends(held))
+
+    def group_ends(rows: pa.Table) -> list[int]:
+        names = [rows.column(c).to_numpy() for c in ("g", "a", "b")]
+        new = np.any([x[1:] != x[:-1] for x in names], axis=0)
+        return [*(np.flatnonzero(new) + 1).tolist(), rows.num_rows]
+
+    def whole(rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        """Groups of rows, some at once by their bytes and pairs."""
+        sizes = np.concatenate(([0], np.cumsum(pa.compute.binary_length(rows.column("line")).to_numpy()))) if rows.num_rows else [0]
+        start, some, pairs = 0, [], 0
+        for k, end in enumerate(ends):
+            some.append(end - start)
+            pairs += (end - (ends[k - 1] if k else 0)) ** 2
+            if sizes[end] - sizes[start] >= SLICE_BYTES or pairs >= 1 << 19 or k == len(ends) - 1:
+                yield found_in(rows.slice(start, end - start).combine_chunks(), some)
+                start, some, pairs = end, [], 0
 
     return run
 
@@ -229,7 +278,8 @@ def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     dealt = sized.join(blocks, F.col("g") == F.col("b_g")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "comp", "own")
     full = dealt.join(texts.select(F.col("node").alias("t_node"), "line"), F.col("node") == F.col("t_node")).select("g", "a", "b", "node", "comp", "own", "line")
-    return materialise(full.groupBy("g", "a", "b").applyInArrow(block_linker(similarity), "u bigint, v bigint"), "line-block-links")
+    ordered = full.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+    return materialise(ordered.mapInArrow(block_linker(similarity), "u bigint, v bigint").distinct(), "line-block-links")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +336,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     joined = marked.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("ld__id")) & (F.col("ld__own") == F.col("ld__th")), "left")
     ls = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "ld__gone")
-    text = F.when(F.col("ld__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))
+    # As a variable of a function, the text is split once and not again for each line.
+    rest = F.get(F.transform(F.array(ls), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")), F.lit(0))
+    text = F.when(F.col("ld__gone").isNull(), F.col(text_col)).otherwise(rest)
     # Newlines and one: only texts that change are split.
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("bigint").alias("n_lines"), F.when(F.col("ld__gone").isNull(), 0).otherwise(F.size("ld__gone")).cast("bigint").alias("n_removed"))
