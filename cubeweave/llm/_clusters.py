@@ -44,7 +44,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None, grouped: bool = True) -> DataFrame:
+def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of the verified links among nodes that share a bucket.
 
     ``buckets`` holds distinct (key, node).  ``verify`` takes distinct pairs (u, v)
@@ -56,9 +56,8 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     nodes are tested against one pivot: the node with the most company in all its
     buckets, which tends to be what the others are copies of.  Pairs inside one
     component need no test, so only buckets whose other nodes are of several
-    components go on: ``finish`` gets their (key, node, comp, group, size), where ``group`` is
-    the component of buckets that overlap and ``size`` its nodes, and returns
-    links (u, v) that make all remaining components.
+    components go on: ``finish`` gets their (key, node, comp) and returns links
+    (u, v) that make all remaining components.
     """
     # Dealt out once: the count, which reads both columns too, and the join share this shuffle.
     spread = buckets.repartition("key")
@@ -76,15 +75,9 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     # A pivot has met all of its bucket; what is left to test is among the others.
     others = met.select("key", "node")
     placed = others.join(known, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    spread = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("k", "first")
-    left = materialise(placed.join(spread, F.col("key") == F.col("k")).select("key", "node", "comp", "first"), f"{label}-open")
-    if left.isEmpty():
+    spread = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("k")
+    rest = materialise(placed.join(spread, F.col("key") == F.col("k")).select("key", "node", "comp"), f"{label}-open")
+    if rest.isEmpty():
         return comp
-    rest = left.select("key", "node", "comp")
-    if grouped:
-        groups = components(left.select(F.col("first").alias("u"), F.col("node").alias("v")), f"{label}-group").select(F.col("node").alias("g_node"), F.col("comp").alias("group"))
-        counted = groups.groupBy(F.col("group").alias("s_group")).agg(F.count(F.lit(1)).alias("size"))
-        whole = groups.join(counted, F.col("group") == F.col("s_group")).select("g_node", "group", "size")
-        rest = materialise(rest.join(whole, F.col("node") == F.col("g_node")).select("key", "node", "comp", "group", "size"), f"{label}-rest")
     more = finish(rest)
     return materialise(components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), label), f"{label}-comp")

@@ -27,10 +27,8 @@ SKETCH_BITS, PART = 20, 1 << 14
 #: A shingle's weight is its count times 1 + IDF * (1 - ln(df) / ln(documents)).
 IDF = 0.1
 TABLE_BITS = 16
-#: Groups of candidates beyond the pivots are compared in blocks of about so many documents and compressed bytes.
+#: Buckets are compared, beyond the pivots, in blocks of about so many documents and compressed bytes.
 BLOCK_DOCS, BLOCK_BYTES = 384, 4_000_000
-#: A group of up to so many documents is compared as a whole, a larger one bucket by bucket.
-WHOLE_GROUP = 6_000
 #: Columns of a block's matrix at once.
 MATRIX_COLUMNS = 4096
 
@@ -205,9 +203,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
             return materialise(both.mapInArrow(linker(weigh, similarity), "u binary, v binary"), "links")
 
         def finish(rest: DataFrame) -> DataFrame:
-            """Compare the groups in pairs of blocks; a task returns no more links than it has documents."""
-            as_group = F.when(F.col("size") <= WHOLE_GROUP, F.xxhash64("group")).otherwise(F.col("key"))
-            held = rest.select(as_group.alias("g"), "node", "comp").distinct()
+            """Compare each bucket in pairs of blocks; a task returns no more links than it has documents."""
+            held = rest.select(F.col("key").alias("g"), "node", "comp")
             sized = held.join(kept[0].select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node")).select("g", "node", "comp", "bytes")
             blocks = sized.groupBy(F.col("g").alias("b_g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
             own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
@@ -221,7 +218,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
         known = found.select(F.col("node").alias("c_node"), "comp")
         nulls = rows.where("text IS NULL").select("id", "node")
         placed = signed.select("id", "node").join(known, F.col("node") == F.col("c_node"), "left").select("id", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = placed.groupBy(F.col("comp").alias("s_comp")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+        # Written first, so that the join is of two plain shuffles, whose hot classes Spark can split.
+        sizes = materialise(placed.groupBy(F.col("comp").alias("s_comp")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-sizes")
         out = placed.join(sizes, F.col("comp") == F.col("s_comp")).select("id", "node", "comp", "class_id", "class_size")
         alone = nulls.groupBy(F.col("id").alias("n_id")).agg(F.count(F.lit(1)).alias("class_size"))
         empty = nulls.join(alone, F.col("id").eqNullSafe(F.col("n_id"))).select("id", "node", F.lit(None).cast("binary").alias("comp"), F.col("id").alias("class_id"), "class_size")

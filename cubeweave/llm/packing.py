@@ -49,30 +49,31 @@ def pack(docs: DataFrame, longest: int = SEQUENCE_TOKENS, vocabulary: str = VOCA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table(path_of(vocabulary))
-        part, seen = TaskContext.get().partitionId(), np.zeros(longest + 1, np.int64)
+        part, seen = TaskContext.get().partitionId(), [0] * (longest + 1)
         for batch in batches:
             for first, texts in slices(batch, size=WORD_SLICE_BYTES):
-                lists = [known.words(t) for t in texts]
-                known.learn(lists)
-                rows, start, length, crc, total, nth, held = [], [], [], [], [], [], []
-                for row, words in enumerate(lists, first):
-                    ids = np.append(np.frombuffer(known.joined(words), known.dtype), np.array([end_id], known.dtype)).astype("<u4")
-                    at = 0
-                    for n in piece_lengths(len(ids), longest):
-                        piece = ids[at : at + n].tobytes()
+                ids, ends = known.joined_ids(texts, end_id)
+                ids = ids.astype("<u4")
+                rows, start, length, crc, total, nth = [], [], [], [], [], []
+                view, begin = memoryview(ids).cast("B"), 0
+                for row, end in enumerate(ends.tolist(), first):
+                    at = begin
+                    for n in piece_lengths(end - begin, longest):
                         rows.append(row)
-                        start.append(at)
+                        start.append(at - begin)
                         length.append(n)
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(ids))
+                        crc.append(zlib.crc32(view[4 * at : 4 * (at + n)]))
+                        total.append(end - begin)
                         nth.append(seen[n])
                         seen[n] += 1
-                        if with_ids:
-                            held.append(np.frombuffer(piece, "<u4").astype(np.int32))
                         at += n
+                    begin = end
                 own = batch.column("id").take(pa.array(rows, pa.int64()))
                 cols = [own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([part] * len(rows), pa.int64()), pa.array(nth, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(held, pa.list_(pa.int32()))] * with_ids, names)
+                if with_ids:
+                    # Pieces follow one another as the ids do.
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(ids.view("<i4"))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

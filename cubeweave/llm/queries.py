@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cubeweave.llm import archives, classifier, extraction, line_dedup, media, mixing, near_duplicates, packing, quality_rules, tokens
 
@@ -15,7 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size")
+    # The least id names a class; where ids repeat or are null, the key tells classes apart.
+    key = F.coalesce(F.hex("comp"), F.concat(F.lit("no text "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return found.select("doc_id", "class_id", "class_size", key.alias("class_key"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +55,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive(_table(spark, sf_dir, "pages"))
 
 
-def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.archive(_table(spark, sf_dir, "pages"))
-
-
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=True)
 
@@ -70,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
-    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 

@@ -20,12 +20,13 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that one Python worker keeps at most; beyond it the table starts anew.
-WORDS_KEPT = 500_000
+#: Words that a generation of a Python worker's table takes; beyond it the one before goes.
+WORDS_KEPT = 300_000
 #: Documents of one batch are handled in slices of about so many bytes.
 SLICE_BYTES = 4_000_000
 #: The same where words are looked up: more text holds more words alike.
@@ -191,6 +192,32 @@ class PrefixProgramme:
         return None if 0 in out else out
 
 
+class Kept(dict):
+    """What is known of words: the younger of two generations.
+
+    When it is full, it becomes the elder, whose words move back when they are wanted;
+    so frequent words stay and rare ones go.
+    """
+
+    def __init__(self) -> None:
+        self.elder: dict[bytes, bytes] = {}
+
+    def lacking(self, wanted: Iterable[bytes]) -> list[bytes]:
+        """Those of the words that neither generation has; the others are in the younger."""
+        if len(self) >= WORDS_KEPT:
+            self.elder = dict(self)
+            self.clear()
+        out, back = [], self.elder.pop
+        for w in wanted:
+            if w not in self:
+                value = back(w, None)
+                if value is None:
+                    out.append(w)
+                else:
+                    self[w] = value
+        return out
+
+
 class WordTable:
     """The ids of words, and the steps of their counts, by word."""
 
@@ -203,8 +230,7 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.ids: dict[bytes, bytes] = {}
-        self.steps: dict[bytes, bytes] = {}
+        self.ids, self.steps = Kept(), Kept()
         specials = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.mark = min(specials)
         self.mark_id = self.tokenizer.token_to_id(self.mark)
@@ -229,6 +255,9 @@ class WordTable:
         found: list = [None] * len(words)
         tokenize, marks, rest = self.tokenizer.model.tokenize, self.marks, []
         for k, w in enumerate(words):
+            if w.isascii() and w.isalpha():
+                found[k] = [t.id for t in tokenize(w.lower())]
+                continue
             m = SIMPLE(w.lower()) if self.has_simple and OPENING not in w else None
             if m is None:
                 rest.append(k)
@@ -263,32 +292,39 @@ class WordTable:
                 found[k] = ids[x:y]
         return found
 
-    def words(self, text: bytes) -> list[bytes]:
-        """The words of a text.
+    def lowered(self, text: bytes) -> bytes:
+        """A text with its ASCII letters in lower case where that can't change the ids.
 
-        ASCII letters are put in lower case at once where that can't change the
-        ids: not beside combining marks, and not where a special token's string
+        That is not beside combining marks, and not where a special token's string
         may stand.  Both need the text as it is.
         """
         if b"\xcc" in text or b"\xcd" in text or any(o in text for o in self.openings_b):
-            return text.split()
-        return text.lower().split()
-
-    def learn(self, lists: Iterable[list[bytes]]) -> None:
+            return text
+        return text.lower()
+
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The words of all texts as numbers, where each text's end, and the distinct words by number."""
+        lists = pc.ascii_split_whitespace(pa.array([self.lowered(t) for t in texts], pa.binary()).cast(pa.string()))
+        found = lists.values.dictionary_encode()
+        return found.indices.to_numpy(), lists.offsets.to_numpy()[1:], found.dictionary.cast(pa.binary()).to_pylist()
+
+    def joined_ids(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, each text's closed by ``end_id``, and where each text's end."""
+        codes, ends, words = self.coded(texts)
+        self.learn(words)
+        own = list(map(self.ids.__getitem__, words))
+        flat = np.append(np.frombuffer(b"".join(own), self.dtype), np.array([end_id], self.dtype))
+        n = np.append(np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize, 1)
+        ids, upto = gathered(flat, n, np.insert(codes, ends, len(own)))
+        return ids, upto[ends + np.arange(1, len(ends) + 1)]
+
+    def learn(self, words: Iterable[bytes]) -> None:
         """Look up the ids of all words that the table lacks."""
-        wanted = set().union(*lists)
-        if len(self.ids) + len(wanted) > WORDS_KEPT:
-            self.ids.clear()
-        lacking = list(wanted.difference(self.ids))
-        kind = self.dtype.char
+        lacking, kind = self.ids.lacking(words), self.dtype.char
         for w, ids in zip(lacking, self.word_ids([w.decode() for w in lacking]), strict=True):
             self.ids[w] = array(kind, ids).tobytes()
 
-    def joined(self, words: list[bytes]) -> bytes:
-        """The ids of a text, given its words, as bytes."""
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def learn_steps(self, lists: Iterable[list[bytes]]) -> None:
+    def learn_steps(self, words: Iterable[bytes]) -> None:
         """For words that the table lacks: how the count changes with each further character, as 16-bit bytes.
 
         All that stands before a word ends at white space and can't change any
@@ -299,19 +335,18 @@ class WordTable:
         """
         if self.programme is None:
             self.programme = PrefixProgramme(self.path)
-        wanted = set().union(*lists)
-        if len(self.steps) + len(wanted) > WORDS_KEPT:
-            self.steps.clear()
-        lacking = sorted(wanted.difference(self.steps))
+        lacking = sorted(self.steps.lacking(words))
         texts = [w.decode() for w in lacking]
         for w, t, ids in zip(lacking, texts, self.word_ids(texts), strict=True):
-            counts = self.word_counts(t)
-            if counts is None or counts[-1] != len(ids):
+            counts = self.word_counts(t) if t else []
+            if counts is None or t and counts[-1] != len(ids):
                 counts = [len(i) for i in self.encode([t[:j] for j in range(1, len(t) + 1)])]
             self.steps[w] = array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
     def word_counts(self, word: str) -> list[int] | None:
         low = word.lower()
+        if low.isascii() and low.isalpha():
+            return self.programme.counts(low)
         m = SIMPLE(low) if self.has_simple and OPENING not in word else None
         if m is not None:
             before, letters, after = m.groups()
@@ -336,6 +371,13 @@ class WordTable:
         return out if len(out) == len(word) else None
 
 
+def gathered(flat: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of ``flat``, of the lengths ``n``, in the order of their numbers ``codes``; and where each begins (and at last, ends)."""
+    starts, own = np.cumsum(n) - n, n[codes]
+    upto = np.concatenate(([0], np.cumsum(own)))
+    return flat[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], own)], upto
+
+
 _TABLES: dict[str, WordTable] = {}
 
 
@@ -365,21 +407,31 @@ def n_characters(text: bytes) -> int:
     return len(text.decode())
 
 
-def prefix_steps(text: bytes, words: list[bytes], known: WordTable) -> np.ndarray:
-    """The change of the token count at each character of a text; its running sum is the count at every prefix."""
-    steps = b"\0\0".join(map(known.steps.__getitem__, words))
-    n = n_characters(text)
-    if len(steps) == 2 * n:
-        return np.frombuffer(steps, "<i2")
-    # White space other than one character between words: place each word.
+def prefix_steps(texts: list[bytes], known: WordTable) -> list[np.ndarray]:
+    """The change of the token count at each character of each text; its running sum is the count at every prefix."""
+    codes, ends, words = known.coded(texts)
+    known.learn_steps(words)
+    own = list(map(known.steps.__getitem__, words))
+    # White space adds nothing: one step of 0 after each word, which the last has no use for.
+    flat = np.frombuffer(b"".join([w + b"\0\0" for w in own]), "<i2")
+    steps, upto = gathered(flat, np.fromiter(map(len, own), np.int64, len(own)) // 2 + 1, codes)
+    out = []
+    for text, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist()):
+        n, found = n_characters(text), steps[upto[a] : max(upto[a], upto[b] - 1)]
+        out.append(found if len(found) == n else placed_steps(text, [own[c] for c in codes[a:b].tolist()], n))
+    return out
+
+
+def placed_steps(text: bytes, words: list[bytes], n: int) -> np.ndarray:
+    """The same where white space is other than one character between words: each word's steps at its place."""
     out = np.zeros(n, "<i2")
-    chars = text.decode()
-    at = 0
-    gaps = " \t\n\r\x0b\x0c"
-    for w in words:
+    chars, at, gaps = text.decode(), 0, " \t\n\r\x0b\x0c"
+    for steps in words:
+        if not steps:
+            continue
         while chars[at] in gaps:
             at += 1
-        own = np.frombuffer(known.steps[w], "<i2")
+        own = np.frombuffer(steps, "<i2")
         out[at : at + len(own)] = own
         at += len(own)
     return out
@@ -416,9 +468,7 @@ def prefix_counts(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULA
         known = table(path_of(vocabulary))
         for batch in batches:
             for start, texts in slices(batch, size=WORD_SLICE_BYTES):
-                lists = [known.words(t) for t in texts]
-                known.learn_steps(lists)
-                every = [prefix_steps(t, w, known) for t, w in zip(texts, lists, strict=True)]
+                every = prefix_steps(texts, known)
                 n = np.array([int(s.sum(dtype=np.int64)) for s in every], np.int64)
                 within = [len(s) if k <= limit else longest_within(s, limit) for s, k in zip(every, n.tolist(), strict=True)]
                 cols = [batch.column("id").slice(start, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit), pa.array(within, pa.int64())]
