@@ -15,6 +15,8 @@ from cubeweave.llm._scratch import materialise, released_shuffles
 from cubeweave.llm.tokens import VOCABULARY, WORD_SLICE_BYTES, slices, table, vocabulary_path
 
 SEQUENCE_TOKENS = 2048
+#: A table of so many rows of three numbers, a few MB, is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Closes each document.
 END_ID = 1
 
@@ -80,13 +82,15 @@ def pack(docs: DataFrame, longest: int = SEQUENCE_TOKENS, vocabulary: str = VOCA
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, nth bigint" + ", ids array<int>" * with_ids
     with released_shuffles(docs.sparkSession):
         pieces = materialise(rows.mapInArrow(run, schema), "pieces")
-    # A task has numbered its pieces within each length; what the tasks before it have is a row for each task and length.
-    made = pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
+        # A task has numbered its pieces within each length; what the tasks before it have is a row for each task and length.
+        made = materialise(pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n")), "piece-counts")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # There are at most log2(longest) + 1 lengths.
     lengths = made.groupBy("length").agg(F.sum("n").alias("n"))
     bases = lengths.select("length", F.coalesce(F.sum("n").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     first = made.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).join(F.broadcast(bases), "length").select(F.col("length").alias("f_length"), F.col("part").alias("f_part"), (F.col("base") + F.col("before")).alias("first"))
+    # The pieces are wide: they stay where they are unless tasks are very many.
+    first = F.broadcast(first) if made.count() <= BROADCAST_ROWS else first
     numbered = pieces.join(first, (F.col("length") == F.col("f_length")) & (F.col("part") == F.col("f_part")))
     bucket = F.log2(F.col("length").cast("double")).cast("int")
     out = numbered.select(F.col(f"`{id_col}`"), "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), bucket.alias("bucket"), *(["ids"] * with_ids))
