@@ -47,7 +47,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], label: str, candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of the verified links among nodes that share a bucket.
 
-    ``buckets`` holds distinct (key, node).  ``verify`` takes distinct pairs (u, v)
+    ``buckets`` holds (key, node), repeats allowed.  ``verify`` takes distinct pairs (u, v)
     and returns those that are links.  ``candidates``, if given, first gets the
     distinct nodes of all buckets of two nodes or more.  Returns (node, comp), for
     nodes that have a link.
@@ -61,8 +61,8 @@ def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], finish
     """
     # Dealt out once: the count, which reads both columns too, and the join share this shuffle.
     spread = buckets.repartition("key")
-    sizes = spread.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1 AND low IS NOT NULL")
-    members = materialise(spread.join(sizes.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "n"), f"{label}-members")
+    sizes = spread.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("k", "n")
+    members = materialise(spread.join(sizes.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "node", "n").distinct(), f"{label}-members")
     company = members.groupBy(F.col("node").alias("c_node")).agg(F.sum("n").alias("company"))
     if candidates is not None:
         candidates(members.select("node").distinct())

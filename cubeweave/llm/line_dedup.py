@@ -311,7 +311,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         places = signed.select("id", "th", "pos", "node")
         texts = signed.where("line IS NOT NULL")
         # A node's keys differ, for each hash begins with its band.
-        buckets = texts.select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+        buckets = texts.select("node", F.explode("keys").alias("key"))
         kept: list[DataFrame] = []
 
         def fetch(wanted: DataFrame) -> None:
@@ -327,7 +327,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
 
         found = classes(buckets, verify, lambda rest: block_links(rest, kept[0], similarity), "line", fetch)
         known = found.select(F.col("node").alias("c_node"), "comp")
-        placed = places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp"))
+        placed = materialise(places.join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp")), "line-placed")
         # Written first, so that the join is of two plain shuffles, whose hot components Spark can split.
         firsts = materialise(placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f_comp", "at"), "line-firsts")
         later = placed.join(firsts, F.col("comp") == F.col("f_comp")).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("at")))
