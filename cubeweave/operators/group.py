@@ -25,8 +25,9 @@ class Key:
 
 
 def unique(name: str, column: Column | None = None, labels: Sequence[Any] | None = None) -> Key:
-    """Groups of equal values; missing values belong to none."""
-    return Key(name, F.col(name) if column is None else column)
+    """Groups of equal values; missing values, and with ``labels`` all but these, belong to none."""
+    column = F.col(name) if column is None else column
+    return Key(name, column if labels is None else F.when(column.isin(list(labels)), column))
 
 
 def bins(name: str, column: Column, edges: Sequence[float], labels: Sequence[Any] | None = None, right: bool = True, include_lowest: bool = False) -> Key:
