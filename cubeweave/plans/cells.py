@@ -162,11 +162,11 @@ def astype_cast(spark, sf):
     return C.orders(spark, sf)["o_totalprice"].map(F.floor).astype("bigint").rename(o_totalprice="whole").frame
 
 
-@query("SELECT p_brand, p_retailprice, p_partkey FROM part WHERE p_partkey <= 100")
+@query("SELECT p_brand, p_retailprice, p_partkey FROM part")
 def swap_dims_coord(spark, sf):
     c = C.part(spark, sf)
     c = Cube(c.frame.select("p_partkey", "p_retailprice", "p_brand"), ("p_partkey",), ("p_retailprice",), {"p_brand": ("p_partkey",)})
-    return S.sel(c, p_partkey=slice(None, 100)).swap_dims("p_partkey", "p_brand").frame
+    return c.swap_dims("p_partkey", "p_brand").frame
 
 
 @query(f"WITH {DAILY} SELECT 'revenue' AS variable, day, status, round(revenue, 4) AS value FROM daily UNION ALL SELECT 'quantity', day, status, round(quantity, 4) FROM daily")
@@ -239,13 +239,13 @@ def ieee_division(spark, sf):
 
 
 # -- alignment, joins, sets ------------------------------------------------------
-_A = "a AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey % 3 = 0)"
+# Two whole tables whose keys overlap in part: parts, and customers by twice their key.
+_A = "a AS (SELECT p_partkey, p_retailprice AS v FROM part), b AS (SELECT c_custkey * 2 AS p_partkey, c_acctbal AS v FROM customer)"
 
 
 def _two(spark, sf):
-    p = C.table(spark, sf, "part")
-    a = Cube(p.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_retailprice").alias("v")), ("p_partkey",), ("v",))
-    b = Cube(p.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_size").cast("double").alias("v")), ("p_partkey",), ("v",))
+    a = Cube(C.table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("v")), ("p_partkey",), ("v",))
+    b = Cube(C.table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("p_partkey"), F.col("c_acctbal").alias("v")), ("p_partkey",), ("v",))
     return a, b
 
 
@@ -298,35 +298,40 @@ def reindex_like_fill(spark, sf):
     return A.reindex_like(a, b, fill_value=-1.0).frame
 
 
-_T = "t AS (SELECT ts AS k FROM events WHERE event_id % 50 = 0), s AS (SELECT DISTINCT ts AS k FROM events WHERE event_id % 7 = 1)"
+# All events look for a neighbour among all events, seven minutes after their own time.
+_T = "t AS (SELECT ts + INTERVAL 7 MINUTE AS k FROM events), s AS (SELECT DISTINCT ts AS k FROM events)"
+
+
+def _later(name):
+    return F.col(name) + F.expr("INTERVAL '7' MINUTE")
 
 
 def _asof(spark, sf, method, tolerance=None):
     e = C.table(spark, sf, "events")
-    return A.asof(e.where("event_id % 50 = 0").select(F.col("ts").alias("k")), e.where("event_id % 7 = 1").select(F.col("ts").alias("k")), "k", method, tolerance).withColumnRenamed("__found", "found")
+    return A.asof(e.select(_later("ts").alias("k")), e.select(F.col("ts").alias("k")), "k", method, tolerance).withColumnRenamed("__found", "found")
 
 
-@query(f"WITH {_T} SELECT t.k, (SELECT max(s.k) FROM s WHERE s.k <= t.k) AS found FROM t")
+@query(f"WITH {_T} SELECT t.k, s.k AS found FROM t ASOF LEFT JOIN s ON t.k >= s.k")
 def asof_pad(spark, sf):
     return _asof(spark, sf, "pad")
 
 
-@query(f"WITH {_T} SELECT t.k, (SELECT min(s.k) FROM s WHERE s.k >= t.k) AS found FROM t")
+@query(f"WITH {_T} SELECT t.k, s.k AS found FROM t ASOF LEFT JOIN s ON t.k <= s.k")
 def asof_backfill(spark, sf):
     return _asof(spark, sf, "backfill")
 
 
-@query(f"WITH {_T}, n AS (SELECT t.k, (SELECT max(s.k) FROM s WHERE s.k <= t.k) AS lo, (SELECT min(s.k) FROM s WHERE s.k >= t.k) AS hi FROM t), f AS (SELECT k, CASE WHEN lo IS NOT NULL AND (hi IS NULL OR date_diff('microsecond', lo, k) < date_diff('microsecond', k, hi)) THEN lo ELSE hi END AS found FROM n) SELECT k, CASE WHEN abs(date_diff('microsecond', found, k)) <= 600000000 THEN found END AS found FROM f")
+@query(f"WITH {_T}, l AS (SELECT t.k, s.k AS lo FROM t ASOF LEFT JOIN s ON t.k >= s.k), n AS (SELECT l.k, l.lo, s.k AS hi FROM l ASOF LEFT JOIN s ON l.k <= s.k), f AS (SELECT k, CASE WHEN lo IS NOT NULL AND (hi IS NULL OR date_diff('microsecond', lo, k) < date_diff('microsecond', k, hi)) THEN lo ELSE hi END AS found FROM n) SELECT k, CASE WHEN abs(date_diff('microsecond', found, k)) <= 600000000 THEN found END AS found FROM f")
 def asof_nearest_tolerance(spark, sf):
     from datetime import timedelta
 
     return _asof(spark, sf, "nearest", timedelta(minutes=10))
 
 
-@query("WITH e AS (SELECT event_id, user_id, ts, value FROM events), t AS (SELECT user_id, ts FROM e WHERE event_id % 20 = 0), s AS (SELECT user_id, ts FROM e WHERE event_id % 20 <> 0) SELECT t.user_id, t.ts, (SELECT max(s.ts) FROM s WHERE s.user_id = t.user_id AND s.ts <= t.ts) AS found FROM t")
+@query("WITH t AS (SELECT user_id, ts + INTERVAL 7 MINUTE AS ts FROM events), s AS (SELECT DISTINCT user_id, ts FROM events) SELECT t.user_id, t.ts, s.ts AS found FROM t ASOF LEFT JOIN s ON t.user_id = s.user_id AND t.ts >= s.ts")
 def asof_by_key(spark, sf):
     e = C.table(spark, sf, "events")
-    return A.asof(e.where("event_id % 20 = 0").select("user_id", "ts"), e.where("event_id % 20 <> 0").select("user_id", "ts"), "ts", "pad", by=["user_id"]).withColumnRenamed("__found", "found")
+    return A.asof(e.select("user_id", _later("ts").alias("ts")), e.select("user_id", "ts"), "ts", "pad", by=["user_id"]).withColumnRenamed("__found", "found")
 
 
 @query("WITH d AS (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1) SELECT TIMESTAMP '1996-02-03 05:00:00' AS o_orderdate, n FROM d WHERE o_orderdate >= TIMESTAMP '1996-02-03 05:00:00' ORDER BY d.o_orderdate LIMIT 1")
@@ -352,22 +357,22 @@ def update_variables(spark, sf):
     return A.update(a, b.rename(v="w")).frame
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey > 150 AND p_partkey <= 180")
+@query("SELECT p_partkey, p_size FROM part")
 def concat_dim(spark, sf):
     c = C.part(spark, sf)["p_size"]
-    return A.concat([S.sel(c, p_partkey=slice(None, 50)), S.sel(c, p_partkey=slice(151, 180))], "p_partkey").frame
+    return A.concat([S.sel(c, p_partkey=slice(None, 50)), S.sel(c, p_partkey=slice(51, None))], "p_partkey").frame
 
 
-@query("SELECT 'low' AS run, n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'high', n_nationkey, n_regionkey FROM nation WHERE n_nationkey >= 20")
+@query("SELECT 'low' AS run, n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 13 UNION ALL SELECT 'high', n_nationkey, n_regionkey FROM nation WHERE n_nationkey >= 13")
 def concat_new_dim(spark, sf):
     c = Cube.from_spark(C.table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), ["n_nationkey"])
-    return A.concat([S.sel(c, n_nationkey=slice(None, 4)), S.sel(c, n_nationkey=slice(20, None))], "run", ["low", "high"]).frame
+    return A.concat([S.sel(c, n_nationkey=slice(None, 12)), S.sel(c, n_nationkey=slice(13, None))], "run", ["low", "high"]).frame
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_partkey <= 90")
+@query("SELECT p_partkey, p_size FROM part")
 def combine_by_coords_tiles(spark, sf):
     c = C.part(spark, sf)["p_size"]
-    return A.combine_by_coords([S.sel(c, p_partkey=slice(61, 90)), S.sel(c, p_partkey=slice(None, 30)), S.sel(c, p_partkey=slice(31, 60))], "p_partkey").frame
+    return A.combine_by_coords([S.sel(c, p_partkey=slice(61, None)), S.sel(c, p_partkey=slice(None, 30)), S.sel(c, p_partkey=slice(31, 60))], "p_partkey").frame
 
 
 @query(f"WITH {_A} SELECT p_partkey FROM a UNION SELECT p_partkey FROM b")
@@ -380,14 +385,15 @@ def index_intersection(spark, sf):
     return A.joined_labels(_two(spark, sf), "p_partkey", "inner")
 
 
-@query("SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_acctbal < n.n_nationkey * 100 AND n.n_nationkey > 20")
+@query("SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_acctbal < n.n_nationkey * 100")
 def theta_join(spark, sf):
-    s, n = C.table(spark, sf, "supplier"), C.table(spark, sf, "nation").where("n_nationkey > 20")
+    s, n = C.table(spark, sf, "supplier"), C.table(spark, sf, "nation")
     return s.join(n, F.col("s_acctbal") < F.col("n_nationkey") * 100).select("s_suppkey", "n_nationkey")
 
 
-@query("WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT * FROM p WHERE vec_id % 2 = 0), t AS (SELECT * FROM p WHERE vec_id % 50 = 1) SELECT t.vec_id AS target, round(min(sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y))), 6) AS distance FROM t, s GROUP BY 1")
+@query("WITH s AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), t AS (SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS x, CAST(embedding[4] AS DOUBLE) AS y FROM embeddings) SELECT t.vec_id AS target, round(min(sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y))), 6) AS distance FROM t, s GROUP BY 1")
 def nearest_in_plane(spark, sf):
-    e = C.table(spark, sf, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    out = A.nearest_points(e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "point"), e.where("vec_id % 50 = 1").withColumnRenamed("vec_id", "target"), ["x", "y"], 0.25)
+    """All vectors' third and fourth numbers look among all vectors' first two."""
+    plane = lambda name, k: C.table(spark, sf, "embeddings").select(F.col("vec_id").alias(name), *[F.get("embedding", F.lit(k + j)).cast("double").alias(c) for j, c in enumerate("xy")])
+    out = A.nearest_points(plane("point", 0), plane("target", 2), ["x", "y"], 0.25)
     return out.select("target", F.round("distance", 6).alias("distance"))

@@ -144,9 +144,9 @@ def corr_pair(spark, sf):
     return rounded(R.pair(*_pairs(spark, sf), "corr", "day").frame, 6)
 
 
-@query("WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 40), q AS (SELECT k, x FROM e WHERE vec_id = 0) SELECT vec_id, round(sum(e.x * q.x), 5) AS dot FROM e JOIN q USING (k) GROUP BY 1")
+@query("WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), q AS (SELECT k, x FROM e WHERE vec_id = 0) SELECT vec_id, round(sum(e.x * q.x), 5) AS dot FROM e JOIN q USING (k) GROUP BY 1")
 def dot_product(spark, sf):
-    e = C.table(spark, sf, "embeddings").where("vec_id < 40").select("vec_id", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    e = C.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
     a = Cube(e, ("vec_id", "k"), ("x",))
     b = Cube(e.where("vec_id = 0").select("k", "x"), ("k",), ("x",))
     return rounded(R.dot(a, b).frame, 5)
