@@ -107,14 +107,15 @@ def asof(targets: DataFrame, sources: DataFrame, key: str, method: str = "pad",
         stream = dealt(stream, [*by, "__k", "__t"])
         part = [*by, "__part"]
     back = Window.partitionBy(*part).orderBy("__k", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*part).orderBy("__k", F.col("__t").desc()).rowsBetween(0, Window.unboundedFollowing)
-    low, high = F.last("__s", ignorenulls=True).over(back), F.first("__s", ignorenulls=True).over(ahead)
+    # Ahead is back in reverse order: a frame that ends unbounded is computed anew for each row.
+    ahead = Window.partitionBy(*part).orderBy(F.col("__k").desc(), "__t").rowsBetween(Window.unboundedPreceding, 0)
+    low, high = F.last("__s", ignorenulls=True).over(back), F.last("__s", ignorenulls=True).over(ahead)
     out = stream.withColumn("__low", low).withColumn("__high", high)
     if not whole:
         # One row for each range (of a key): its last and first source, and from these those of the ranges around it.
         ends = stream.groupBy(*part).agg(F.max("__s").alias("__last"), F.min("__s").alias("__first"))
-        w = Window.partitionBy(*by).orderBy("__part")
-        around = ends.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__part").alias("__p"), F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+        w, back = [Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.col("__part"), F.col("__part").desc())]
+        around = ends.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__part").alias("__p"), F.last("__last", ignorenulls=True).over(w).alias("__before"), F.last("__first", ignorenulls=True).over(back).alias("__after"))
         # Only keys that lie in several ranges take anything over; of ranges cut inside a key there are fewer than ranges.
         around = around.where(F.col("__before").isNotNull() | F.col("__after").isNotNull())
         same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{k}")) for k, c in enumerate(by)], F.col("__part") == F.col("__p"))
@@ -129,6 +130,7 @@ def asof(targets: DataFrame, sources: DataFrame, key: str, method: str = "pad",
     else:
         nearer_low = F.col("__high").isNull() | (gap(k, F.col("__low")) < gap(F.col("__high"), k))
         found = F.when(F.col("__low").isNotNull() & nearer_low, F.col("__low")).otherwise(F.col("__high"))
+    found = F.when(k.isNotNull(), found)
     if tolerance is not None:
         limit = tolerance if numeric else int(tolerance.total_seconds() * 1e6)
         found = F.when(F.abs(gap(k, found)) <= limit, found)

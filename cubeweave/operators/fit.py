@@ -42,9 +42,9 @@ def interp(cube: Cube, dim: str, targets: DataFrame | Sequence[Any], method: str
         both = dealt(both, [*rest, "__x", "__t"])
         part = [*rest, "__part"]
     w = Window.partitionBy(*part)
-    back, ahead = w.orderBy("__x", "__t").rowsBetween(Window.unboundedPreceding, 0), w.orderBy("__x", F.col("__t").desc()).rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.orderBy("__x", "__t").rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.col("__x").desc(), "__t").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({f"__h_{n}": c for n, c in held.items()})
-    both = both.withColumns({f"__a_{n}": F.last(f"__h_{n}", ignorenulls=True).over(back) for n in held} | {f"__b_{n}": F.first(f"__h_{n}", ignorenulls=True).over(ahead) for n in held})
+    both = both.withColumns({f"__a_{n}": F.last(f"__h_{n}", ignorenulls=True).over(back) for n in held} | {f"__b_{n}": F.last(f"__h_{n}", ignorenulls=True).over(ahead) for n in held})
     if not whole:
         both = scan(both, rest, {f"__ca_{n}": F.max(f"__h_{n}") for n in held}, F.max, block="__part")
         both = scan(both, rest, {f"__cb_{n}": F.min(f"__h_{n}") for n in held}, F.min, block="__part", reverse=True)

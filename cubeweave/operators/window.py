@@ -40,10 +40,12 @@ def nearest_values(frame: DataFrame, rest: list[str], held: dict[str, Column], w
     """
     if not whole:
         frame = in_blocks(frame)
-    w = Window.partitionBy(*rest, *([] if whole else ["__block"])).orderBy("__pos")
+    part = Window.partitionBy(*rest, *([] if whole else ["__block"]))
+    # Looking ahead is looking back in reverse order: frames that end unbounded are computed anew for each row.
+    w, back = part.orderBy("__pos"), part.orderBy(F.col("__pos").desc())
     out = {f"__h_{n}": c for n, c in held.items()}
     frame = frame.withColumns(out)
-    sides = [("last", F.last, w.rowsBetween(Window.unboundedPreceding, 0), F.max, False)] * forward + [("next", F.first, w.rowsBetween(0, Window.unboundedFollowing), F.min, True)] * backward
+    sides = [("last", F.last, w.rowsBetween(Window.unboundedPreceding, 0), F.max, False)] * forward + [("next", F.last, back.rowsBetween(Window.unboundedPreceding, 0), F.min, True)] * backward
     for name, pick, over, best, reverse in sides:
         frame = frame.withColumns({f"__{name}_{n}": pick(f"__h_{n}", ignorenulls=True).over(over) for n in held})
         if not whole:

@@ -82,8 +82,7 @@ def scan(frame: DataFrame, series: Sequence[str], totals: dict[str, Column], ove
     them is a BLOCK_ROWS-th of the frame.
     """
     each = frame.groupBy(*series, block).agg(*[c.alias(f"__t_{n}") for n, c in totals.items()])
-    w = Window.partitionBy(*series).orderBy(block)
-    w = w.rowsBetween(1, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*series).orderBy(F.col(block).desc() if reverse else F.col(block)).rowsBetween(Window.unboundedPreceding, -1)
     ahead = each.select(*[F.col(s).alias(f"__s{k}") for k, s in enumerate(series)], F.col(block).alias("__b"), *[over_blocks(f"__t_{n}").over(w).alias(n) for n in totals])
     same = F.col(block) == F.col("__b")
     for k, s in enumerate(series):
