@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubeweave.functions.math import nn
+from cubeweave.operators.arithmetic import Arithmetic
 from cubeweave.ranges import number
 
 
@@ -20,7 +21,7 @@ class AlignmentError(ValueError):
 
 
 @dataclass(frozen=True)
-class Cube:
+class Cube(Arithmetic):
     """Variables over named dimensions, as one row for each cell that is present.
 
     ``frame`` holds a key column for each of ``dims`` (its labels), a column for
@@ -60,6 +61,13 @@ class Cube:
         rows = [tuple(r) for r in data["rows"]]
         return cls(spark.createDataFrame(rows, data["schema"]), tuple(data["dims"]), tuple(data["names"]), {k: tuple(v) for k, v in data["coords"].items()}, data["attrs"])
 
+    @classmethod
+    def from_series(cls, spark: SparkSession, series: Any, name: str | None = None) -> Cube:
+        """A pandas series, whose index levels become dimensions."""
+        name = name or series.name or "value"
+        frame = series.rename(name).reset_index()
+        return cls.from_spark(spark.createDataFrame(frame), [c for c in frame.columns if c != name], [name])
+
     def to_spark(self) -> DataFrame:
         return self.frame
 
@@ -175,6 +183,16 @@ class Cube:
     def assign_attrs(self, **attrs: Any) -> Cube:
         return replace(self, attrs={**self.attrs, **attrs})
 
+    def copy(self, data: Mapping[str, Column] | None = None) -> Cube:
+        """Another cube with the same cells, or other ``data`` in them; attributes are its own."""
+        frame = self.frame.withColumns(dict(data)) if data else self.frame
+        return replace(self.with_frame(frame), attrs=dict(self.attrs), var_attrs={k: dict(v) for k, v in self.var_attrs.items()})
+
+    def drop_encoding(self) -> Cube:
+        """Without the attributes that only tell how values were stored."""
+        stored = ("_FillValue", "missing_value", "scale_factor", "add_offset", "dtype", "units_stored", "chunks")
+        return replace(self, var_attrs={n: {k: v for k, v in a.items() if k not in stored} for n, a in self.var_attrs.items()})
+
     def drop_attrs(self) -> Cube:
         return replace(self, attrs={}, var_attrs={})
 

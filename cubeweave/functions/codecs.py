@@ -98,4 +98,6 @@ def decode_cf(cube: Cube, mask_and_scale: bool = True, decode_times: bool = True
         if "flag_values" in attrs and "flag_meanings" in attrs:
             x = decode_enum(x, dict(zip(attrs["flag_values"], str(attrs["flag_meanings"]).split())))
         out[n] = x
+    if decode_times:
+        out |= {d: decode_time(F.col(d), str(a["units"])) for d in cube.dims if " since " in str((a := cube.var_attrs.get(d, {})).get("units", ""))}
     return cube.with_frame(cube.frame.withColumns(out))

@@ -144,6 +144,18 @@ class Grouped:
         pick = lambda n: F.col(f"__o_{n}") if n in other.names else F.col(f"__o_{other.names[0]}")
         return self.cube.with_frame(both.withColumns({n: func(F.col(n), pick(n)) for n in self.cube.names}))
 
+    def assign(self, **new: tuple[str, str]) -> Cube:
+        """Each cell's group reduction beside it: ``assign(total=("sum", "v"))``; the reduction is joined back."""
+        groups = [f"__g_{n}" for n in self.names]
+        rows = self.rows()
+        small = rows.groupBy(*groups, *self.keep).agg(*[aggregate(r, F.col(n)).alias(f"__r_{k}") for k, (r, n) in new.items()])
+        both = rows.join(small, [*groups, *self.keep]).withColumns({k: F.col(f"__r_{k}") for k in new})
+        return self.cube.with_frame(both, names=[*self.cube.names, *[k for k in new if k not in self.cube.names]])
+
+    def assign_coords(self, **new: tuple[str, str]) -> Cube:
+        """As :meth:`assign`, as coords."""
+        return self.assign(**new).set_coords(*new)
+
     def map(self, func: Callable[..., Any], schema: str) -> DataFrame:
         """A pandas function for each group; a group has to fit in one task, so this suits small groups."""
         groups = [f"__g_{n}" for n in self.names]
@@ -234,6 +246,16 @@ class Resampled:
             out = grid.join(out, [self.dim, *rest], "left")
         return self.cube.with_frame(out.select(self.dim, *rest, *self.cube.names), dims=[self.dim, *rest], spines={self.dim: spine}, orders={})
 
+    def agg(self, fill: bool = True, **named: Column) -> Cube:
+        """Any aggregates for each bin."""
+        rest, binned = self.cube.rest(self.dim), self.bins()
+        out = binned.groupBy("__bin", *rest).agg(*[c.alias(n) for n, c in named.items()]).withColumnRenamed("__bin", self.dim)
+        spine = self.spine(binned)
+        if fill:
+            grid = spine.crossJoin(self.cube.frame.select(*rest).distinct()) if rest else spine
+            out = grid.join(out, [self.dim, *rest], "left")
+        return self.cube.with_frame(out.select(self.dim, *rest, *named), dims=[self.dim, *rest], names=list(named), spines={self.dim: spine}, orders={})
+
     def asfreq(self) -> Cube:
         return self.reduce("mean")
 

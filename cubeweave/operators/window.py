@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeweave.cube import Cube
+from cubeweave.functions.dates import us
 from cubeweave.operators.reduce import aggregate
 from cubeweave import ranges
 from cubeweave.ranges import halo, in_blocks, is_small, number, scan  # noqa: F401
@@ -134,6 +135,36 @@ def rolling(cube: Cube, dim: str, window: int, name: str, min_periods: int | Non
     return reaching(cube, dim, back, ahead, make)
 
 
+def rolling_values(cube: Cube, dim: str, back: Any, name: str, ahead: Any = None, min_periods: int = 1) -> Cube:
+    """A window over a dimension's values, not its places: cells at most ``back`` before and ``ahead`` after a label.
+
+    Numbers, or timedeltas for times.  Rows are dealt to blocks of values, each with
+    its neighbours' ends, so a long or hot series runs in many tasks and a window
+    never reaches beyond its block's.
+    """
+    time = dict(cube.frame.dtypes)[dim].startswith(("timestamp", "date"))
+    span = lambda x: 0 if x is None else int(x.total_seconds() * 1e6) if time else x
+    back, ahead, rest = span(back), span(ahead), cube.rest(dim)
+    if min(back, ahead) < 0:
+        raise ValueError("a window can't end before it begins")
+    width = max(back + ahead, 1) * 8
+    x = us(F.col(dim)) if time else F.col(dim)
+    frame = cube.frame.where(F.col(dim).isNotNull()).withColumn("__x", x)
+    at = F.floor(F.col("__x") / F.lit(width)).cast("bigint")
+    held = frame.withColumn("__own", at).withColumn("__block", F.explode(F.sequence(F.floor((F.col("__x") - F.lit(ahead)) / F.lit(width)).cast("bigint"), F.floor((F.col("__x") + F.lit(back)) / F.lit(width)).cast("bigint"))))
+    w = Window.partitionBy(*rest, "__block").orderBy("__x").rangeBetween(-back, ahead)
+    plain = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_pop, "var": F.var_pop}
+    out = held.withColumns({n: F.when(F.count(n).over(w) >= min_periods, plain[name](F.col(n)).over(w)) for n in cube.names})
+    return cube.with_frame(out.where(F.col("__own") == F.col("__block")))
+
+
+def rolling_windows(cube: Cube, dim: str, window: int):
+    """Iterates over (label, cube of the window that ends there); a filter for each, labels on the driver."""
+    labels = [r[0] for r in cube.index(dim).orderBy("pos").select(dim).toLocalIterator()]
+    for k, x in enumerate(labels):
+        yield x, cube.with_frame(cube.frame.where(F.col(dim).isin(labels[max(0, k - window + 1) : k + 1])))
+
+
 def rolling_nd(cube: Cube, windows: dict[str, int], name: str, min_periods: int | None = None) -> Cube:
     """A window over several dimensions: each cell goes to all windows that hold it, then one aggregation."""
     need = 1

@@ -5,9 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cubeweave.cube import Cube
 from cubeweave.functions import strings as S
+from cubeweave.operators import apply as U
+from cubeweave.operators import window as W
 from cubeweave.plans import query
 from cubeweave.plans import cubes as C
+from cubeweave.plans.cubes import DAILY, HOURLY, rounded
 
 _N = "p_name"
 _SIMPLE = {
@@ -97,3 +101,63 @@ def map_blocks_pandas(spark, sf):
             yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "v": pdf["p_size"] * 10 + 1})
 
     return C.table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, v int")
+
+
+def _spearman(x, y):
+    """Correlation of ranks along the last axis; ties share their mean rank."""
+    import numpy as np
+
+    def ranks(a):
+        return np.stack([np.searchsorted(np.sort(r), r, "left") + np.searchsorted(np.sort(r), r, "right") for r in a]) / 2.0
+
+    x, y = ranks(x), ranks(y)
+    x, y = x - x.mean(-1, keepdims=True), y - y.mean(-1, keepdims=True)
+    return (x * y).sum(-1) / np.sqrt((x * x).sum(-1) * (y * y).sum(-1))
+
+
+@query(f"WITH {DAILY}, r AS (SELECT status, rank() OVER (PARTITION BY status ORDER BY revenue) + (count(*) OVER (PARTITION BY status, revenue) - 1) / 2.0 AS x, rank() OVER (PARTITION BY status ORDER BY quantity) + (count(*) OVER (PARTITION BY status, quantity) - 1) / 2.0 AS y FROM daily) SELECT status, round(corr(x, y), 6) AS rho FROM r GROUP BY 1")
+def apply_ufunc_spearman(spark, sf):
+    c = C.daily(spark, sf)
+    return rounded(U.apply_ufunc(_spearman, c["revenue"], c["quantity"], core=["day"], name="rho").frame, 6)
+
+
+@query(f"WITH {DAILY} SELECT day, status, round(quantity - avg(quantity) OVER (PARTITION BY status), 4) AS quantity FROM daily")
+def apply_ufunc_output_core_dim(spark, sf):
+    """The function returns the core dimension; its labels come back."""
+    c = C.daily(spark, sf)["quantity"]
+    return rounded(U.apply_ufunc(lambda x: x - x.mean(-1, keepdims=True), c, core=["day"], out_core="day", name="quantity").frame)
+
+
+@query("SELECT p_partkey, p_retailprice - coalesce(c_acctbal, 0.0) AS v FROM part LEFT JOIN customer ON c_custkey * 2 = p_partkey")
+def apply_ufunc_joined(spark, sf):
+    a = C.part(spark, sf)["p_retailprice"]
+    b = Cube(C.table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("p_partkey"), "c_acctbal"), ("p_partkey",), ("c_acctbal",))
+    return U.apply_ufunc(lambda x, y: x - y.fillna(0.0), a, b, join="left", name="v").frame
+
+
+@query(f"WITH {DAILY} SELECT day, status, round(quantity / sum(quantity) OVER (PARTITION BY status), 9) AS quantity FROM daily")
+def map_blocks_template(spark, sf):
+    def share(pdf):
+        return pdf.assign(quantity=pdf["quantity"].astype(float) / pdf["quantity"].astype(float).sum())
+
+    return rounded(U.map_blocks(share, C.daily(spark, sf)["quantity"].astype("double"), by=["status"]).frame, 9)
+
+
+@query(f"WITH {HOURLY} SELECT hour, kind, round(sum(value) OVER (PARTITION BY kind ORDER BY hour RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW), 4) AS value FROM hourly")
+def rolling_by_value(spark, sf):
+    from datetime import timedelta
+
+    return rounded(W.rolling_values(C.hourly(spark, sf), "hour", timedelta(hours=6), "sum").frame)
+
+
+@query(f"WITH {DAILY} SELECT day, status, round(2 * revenue - quantity, 4) AS v FROM daily")
+def python_operators(spark, sf):
+    c = C.daily(spark, sf)
+    return rounded((2 * c["revenue"] - c["quantity"].rename(quantity="revenue")).rename(revenue="v").frame)
+
+
+@query(f"WITH {HOURLY} SELECT hour, kind, round(value, 4) AS value, round(sum(value) OVER (PARTITION BY kind), 4) AS total FROM hourly")
+def groupby_assign(spark, sf):
+    from cubeweave.operators import group as G
+
+    return rounded(G.groupby(C.hourly(spark, sf), "kind").assign(total=("sum", "value")).frame)

@@ -98,6 +98,18 @@ def load_cube(spark: SparkSession, path: str, **options: Any) -> Cube:
     return cube
 
 
+def load_variable(spark: SparkSession, path: str, **options: Any) -> Cube:
+    """As :func:`open_variable`, kept in memory: one job."""
+    cube = open_variable(spark, path, **options).persist()
+    cube.frame.count()
+    return cube
+
+
+def load_tree(spark: SparkSession, paths: Mapping[str, str], **options: Any) -> CubeTree:
+    """As :func:`open_tree`, each group kept in memory: a job for each."""
+    return CubeTree.from_dict({g: load_cube(spark, p, **options) for g, p in paths.items()})
+
+
 def from_frame(frame: DataFrame, dims: Sequence[str], **attrs: Any) -> Cube:
     return Cube.from_spark(frame, dims, **attrs)
 
@@ -135,6 +147,13 @@ def save_many(cubes: Sequence[Cube], paths: Sequence[str]) -> None:
         to_parquet(c, p, "overwrite")
 
 
+def to_netcdf(cube: Cube, path: str, dim: str | None = None, size: int = 1024) -> int:
+    """Write classic netCDF: one file, or with ``dim`` one for each ``size`` of its labels.  Returns the number of files."""
+    from cubeweave.sources.netcdf import write
+
+    return write(cube, path, dim, size)
+
+
 def to_zarr(cube: Cube, path: str, chunks: Mapping[str, int]) -> None:
     """Write one-variable-per-array chunks; a task writes whole chunks."""
     from cubeweave.sources.zarr import write

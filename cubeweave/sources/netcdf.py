@@ -7,14 +7,22 @@ interleaved by record.
 
 from __future__ import annotations
 
+import json
+import mmap
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from cubeweave.cube import Cube
+from cubeweave.functions.dates import us
+
 #: The format's type numbers.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
@@ -109,6 +117,12 @@ class Header:
         return np.frombuffer(self.data, kind, inner * (stop - start), v.begin + start * inner * kind.itemsize).reshape(stop - start, *shape[1:])
 
 
+def mapped(path: str) -> Header:
+    """A file's header over its mapped pages: only what is read is loaded."""
+    with open(path, "rb") as f:
+        return Header(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
 class Part(InputPartition):
     def __init__(self, start: int, stop: int) -> None:
         super().__init__(None)
@@ -131,7 +145,7 @@ class NetcdfReader(DataSourceReader):
         return [v for v in data if v.dims == dims], dims
 
     def partitions(self) -> list[Part]:
-        h = Header(open(self.path, "rb").read())
+        h = mapped(self.path)
         data, _ = self.chosen(h)
         if not data:
             return [Part(0, 0)]
@@ -140,7 +154,7 @@ class NetcdfReader(DataSourceReader):
         return [Part(a, min(shape[0], a + step)) for a in range(0, shape[0], step)] or [Part(0, 0)]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        h = Header(open(self.path, "rb").read())
+        h = mapped(self.path)
         data, dims = self.chosen(h)
         by_name = {v.name: v for v in h.variables}
         labels = []
@@ -166,12 +180,87 @@ class NetcdfSource(DataSource):
 
     def schema(self) -> StructType:
         reader = NetcdfReader(self.options, StructType())
-        h = Header(open(reader.path, "rb").read())
+        h = mapped(reader.path)
         data, dims = reader.chosen(h)
         keys = [StructField(h.dims[d][0], DoubleType(), True, {"role": "dim"}) for d in dims]
+        if keys:
+            # Where the opener of a cube looks for its description.
+            told = {"dims": [k.name for k in keys], "attrs": h.attrs, "var_attrs": {v.name: v.attrs for v in h.variables if v.attrs}}
+            keys[0].metadata["cubeweave"] = json.dumps(told)
         return StructType([*keys, *[StructField(v.name, DoubleType()) for v in data]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return NetcdfReader(self.options, schema)
 
 
+def _counted(data: bytes) -> bytes:
+    return struct.pack(">i", len(data)) + data + b"\0" * (-len(data) % 4)
+
+
+def _attributes(attrs: dict) -> bytes:
+    if not attrs:
+        return struct.pack(">ii", 0, 0)
+    out = struct.pack(">ii", ATTRIBUTE, len(attrs))
+    for k, v in attrs.items():
+        out += _counted(k.encode())
+        if isinstance(v, str):
+            out += struct.pack(">i", 2) + _counted(v.encode())
+        else:
+            values = np.atleast_1d(np.asarray(v, ">f8"))
+            out += struct.pack(">ii", 6, len(values)) + values.tobytes()
+    return out
+
+
+def encode(dims: dict[str, np.ndarray], variables: dict[str, np.ndarray], attrs: dict, var_attrs: dict) -> bytes:
+    """A file of version 2: doubles, dimensions of fixed length, NaN for missing."""
+    whole = {**{d: ((d,), x) for d, x in dims.items()}, **{n: (tuple(dims), x) for n, x in variables.items()}}
+    names = list(dims)
+    head = b"CDF\x02" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION, len(dims))
+    for d, x in dims.items():
+        head += _counted(d.encode()) + struct.pack(">i", len(x))
+    head += _attributes(attrs) + struct.pack(">ii", VARIABLE, len(whole))
+    described = []
+    for n, (over, x) in whole.items():
+        text = _counted(n.encode()) + struct.pack(f">i{len(over)}i", len(over), *[names.index(d) for d in over]) + _attributes(var_attrs.get(n, {}))
+        size = x.size * 8
+        described.append(text + struct.pack(">ii", 6, min(size, 2**31 - 4)))
+    # The place of each variable's data: all headers, each with its 8 bytes of place, then data in order.
+    at = len(head) + sum(len(t) + 8 for t in described)
+    for text, (_, x) in zip(described, whole.values()):
+        head += text + struct.pack(">q", at)
+        at += x.size * 8
+    return head + b"".join(np.ascontiguousarray(x, ">f8").tobytes() for _, x in whole.values())
+
+
+def write(cube: Cube, path: str, dim: str | None, size: int) -> int:
+    """Write numeric variables over numeric or time dimensions; a task writes a whole file and then names it.
+
+    With ``dim`` the folder ``path`` gets a file for each ``size`` labels of it, so
+    tasks hold a block each; without, one task holds all cells.  A file is named only
+    when it is whole, so a task that runs again does no harm.  Folders have to be
+    mounted on all executors, as for reading.
+    """
+    kinds = dict(cube.frame.dtypes)
+    times = [d for d in cube.dims if kinds[d].startswith(("timestamp", "date"))]
+    var_attrs = {n: dict(a) for n, a in cube.var_attrs.items()} | {d: {"units": "microseconds since 1970-01-01 00:00:00"} for d in times}
+    dense = cube.densify()
+    labels = {d: (us(F.col(d)) if d in times else F.col(d)).cast("double").alias(d) for d in cube.dims}
+    block = F.floor(F.col("__pos") / F.lit(size)).cast("bigint") if dim else F.lit(0).cast("bigint")
+    cells = (dense.with_pos(dim) if dim else dense.frame).select(block.alias("__block"), *labels.values(), *[F.col(n).cast("double").alias(n) for n in cube.names])
+    dims, names, attrs = list(cube.dims), list(cube.names), dict(cube.attrs)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["__block"].iloc[0])
+        pdf = pdf.sort_values(dims)
+        axes = {d: np.unique(pdf[d].to_numpy()) for d in dims}
+        shape = [len(x) for x in axes.values()]
+        data = encode(axes, {n: pdf[n].to_numpy(float).reshape(shape) for n in names}, attrs, var_attrs)
+        target = os.path.join(path, f"part-{number:06d}.nc") if dim else path
+        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+        draft = f"{target}.{os.getpid()}.tmp"
+        with open(draft, "wb") as f:
+            f.write(data)
+        os.replace(draft, target)
+        return pd.DataFrame({"block": [number], "bytes": [len(data)]})
+
+    return cells.groupBy("__block").applyInPandas(one, "block long, bytes long").agg(F.count(F.lit(1))).first()[0]
