@@ -85,9 +85,9 @@ def _ulp(x: Column) -> Column:
 
 
 def spacing(x: Column) -> Column:
-    """Distance to the next double of greater magnitude, with the sign of ``x``; NaN for infinities."""
+    """Distance to the next double of greater magnitude, with the sign of ``x``; infinite for the greatest double, NaN for infinities."""
     x = _c(x).cast("double")
-    size = F.when(F.isnan(x) | (F.abs(x) == float("inf")), _nan()).otherwise(_ulp(F.abs(x)))
+    size = F.when(F.isnan(x) | (F.abs(x) == float("inf")), _nan()).when(F.abs(x) == 1.7976931348623157e308, F.lit(float("inf"))).otherwise(_ulp(F.abs(x)))
     return F.when(x < 0, -size).otherwise(size)
 
 
