@@ -40,7 +40,22 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return resting_on(spark.read.schema(df.schema).parquet(path), path)
+
+
+def resting_on(df: DataFrame, *below: DataFrame | str) -> DataFrame:
+    """Notes on ``df`` the folders that it reads: paths, or those noted on other frames."""
+    df._passes = [path for x in below for path in ([x] if isinstance(x, str) else x.__dict__.get("_passes", []))]
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised frames that no later pass reads; others are left alone."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in df.__dict__.get("_passes", []):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.llm._clusters import classes, components
-from cubeweave.llm._scratch import materialise, released_shuffles
+from cubeweave.llm._scratch import discard, materialise, released_shuffles, resting_on
 from cubeweave.llm._shingles import mixed
 
 #: Characters of a shingle, and the least share of shingles that two lines must have in common.
@@ -48,7 +48,7 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def counted_lines(base: DataFrame, least_words: int) -> DataFrame:
-    """A row for each line that counts: id, th, pos (from 0), the trimmed line, node (its 64-bit hash) and at, a number of its own.
+    """A row for each line that counts: id, th, pos (from 0), the trimmed line, node (its 64-bit hash) and at, a hash of its place.
 
     A line counts if it has LEAST_CHARS characters, or ``least_words`` words.
     """
@@ -62,7 +62,7 @@ def counted_lines(base: DataFrame, least_words: int) -> DataFrame:
     trimmed = some.withColumn("line", F.when(loose, F.btrim("line", F.lit(SPACES))).otherwise(F.col("line")))
     words = F.regexp_count("line", F.lit(f"[{UNSPACED}]|[^ \\t\\n\\x0b\\x0c\\r{UNSPACED}]+"))
     enough = (F.octet_length("line") >= 4 * LEAST_CHARS) | F.when(F.char_length("line") >= LEAST_CHARS, True).otherwise((F.octet_length("line") > 0) & (words >= least_words))
-    return trimmed.where(enough).select("id", "th", "pos", F.xxhash64("line").alias("node"), "line", F.monotonically_increasing_id().alias("at"))
+    return trimmed.where(enough).select("id", "th", "pos", F.xxhash64("line").alias("node"), "line", F.xxhash64("id", "th", "pos").alias("at"))
 
 
 def places_of(units: Column) -> Column:
@@ -176,13 +176,16 @@ def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFra
         tried = materialise(some.select("u", F.explode(F.array("near", "low", "high")).alias("v")).distinct(), "line-block-tried")
         n = tried.count()
         if not n:
+            discard(tried)
             break
         found.append(links(tried, texts, similarity))
+        discard(tried)
         linked = found[-1].count()
         if linked:
             joined = components(found[-1].unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), "line-block")
             known = joined.select(F.col("node").alias("j_node"), F.col("comp").alias("j_comp"))
-            comp = materialise(comp.join(known, F.col("node") == F.col("j_node"), "left").select("node", F.coalesce("j_comp", "comp").alias("comp")), "line-block-comp")
+            before, comp = comp, materialise(comp.join(known, F.col("node") == F.col("j_node"), "left").select("node", F.coalesce("j_comp", "comp").alias("comp")), "line-block-comp")
+            discard(before, joined)
         if 32 * linked < n:
             wanted = comp.select(F.col("node").alias("w_node"))
             open_ = texts.join(wanted, F.col("node") == F.col("w_node"), "left_semi")
@@ -196,12 +199,15 @@ def block_links(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             sizes = F.least(F.size(x), F.size(y)) * 1.01 + 1 >= similarity * F.greatest(F.size(x), F.size(y))
             last = pairs(lines).where((differing("x_", "y_", FINE_SAMPLES) <= MOST_FINE_BITS) & sizes & first & enough)
             near = materialise(last.select(F.col("x_node").alias("u"), F.col("y_node").alias("v")), "line-block-near")
+            discard(lines)
             found.append(links(near, texts, similarity))
+            discard(near)
             break
+    discard(dealt, comp)
     out = rest.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     for part in found:
         out = out.unionByName(part)
-    return out
+    return resting_on(out, *found)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +233,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     docs = docs.drop("n_lines", "n_removed")
     base = documents(docs, id_col, text_col)
     with released_shuffles(spark):
-        places = materialise(counted_lines(base, least_words), "line-places")
+        # Texts are split in each pass that reads lines: a table of all lines would be as large as the input.
+        places = counted_lines(base, least_words)
         # A line's samples are the same at all its places.
         signed = materialise(sampled(places.select("node", "at", "line"), BANDS * ROWS, F.min("at").alias("at")).select("node", "at", key_columns().alias("keys")), "line-signatures")
         # A node's keys differ, for each hash begins with its band.
@@ -237,17 +244,24 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
         def fetch(wanted: DataFrame) -> None:
             """Keep the candidates' lines, once for each."""
             some = signed.join(wanted, "node", "left_semi").select("node", F.col("at").alias("w_at"), "keys")
-            held = materialise(places.select("at", "line").join(some, F.col("at") == F.col("w_at")).select("node", "line", "keys"), "line-texts")
+            # Repeated rows have a place in common; the join has dealt and sorted by it.
+            there = places.select("at", "line").join(some, F.col("at") == F.col("w_at")).dropDuplicates(["at"])
+            held = materialise(there.select("node", "line", "keys"), "line-texts")
+            discard(signed)
             sketches = sampled(held.select("node", "line"), SAMPLES).select(F.col("node").alias("w_node"), *packed_samples(SAMPLES))
             kept.append(materialise(held.join(sketches, F.col("node") == F.col("w_node")).drop("w_node"), "line-sketches"))
+            discard(held)
 
         found = classes(buckets, lambda pairs: links(pairs, kept[0], similarity), lambda rest: block_links(rest, kept[0], similarity), "line", fetch)
+        discard(*kept)
         known = found.select(F.col("node").alias("c_node"), "comp")
         placed = materialise(places.select("id", "th", "pos", "node").join(known, F.col("node") == F.col("c_node"), "left").select("id", "th", "pos", F.coalesce("comp", "node").alias("comp")), "line-placed")
+        discard(found)
         # Written first, so that the join is of two plain shuffles, whose hot components Spark can split.
         firsts = materialise(placed.groupBy(F.col("comp").alias("f_comp")).agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f_comp", "at"), "line-firsts")
         later = placed.join(firsts, F.col("comp") == F.col("f_comp")).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("at")))
         gone = materialise(later.groupBy(F.col("id").alias("ld__id"), F.col("th").alias("ld__th")).agg(F.collect_set("pos").alias("ld__gone")), "line-gone")
+        discard(placed, firsts)
     marked = docs.withColumn("ld__own", F.xxhash64(text_col))
     joined = marked.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("ld__id")) & (F.col("ld__own") == F.col("ld__th")), "left")
     ls = F.split(F.col(text_col), "\n")

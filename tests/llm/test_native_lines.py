@@ -41,3 +41,21 @@ def test_line_dedup_runs_no_python_and_finds_what_all_pairs_give(spark, monkeypa
     assert "ArrowEvalPython" not in plans[0] and "MapInArrow" not in plans[0]
     assert "line-block-tried" in labels
     assert kept == {comp.index(c) for c in comp}
+
+
+def test_line_dedup_leaves_only_its_last_pass_on_disk(spark):
+    from pathlib import Path
+
+    from cubeweave.llm._scratch import shared_dir
+
+    r = random.Random(11)
+    below = Path(shared_dir(spark).removeprefix("file:")) / "cubeweave"
+    before = set(below.glob("*"))
+    lines = ["".join(r.choices("abcdefghij klmnop", k=60)).strip() for _ in range(40)]
+    texts = ["\n".join(r.choices(lines, k=5)) for _ in range(60)]
+    # Rows of both equal are one document, also where a line is fetched by its place.
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(docs)
+    left = set(below.glob("*")) - before
+    assert {x.name.rsplit("-", 1)[0] for x in left} == {"line-gone"}
+    assert sum(len(x["text"].split("\n")) for x in out.collect() if x["text"]) == 2 * len({x for t in texts for x in t.split("\n")})
