@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,30 +75,27 @@ def swapcase(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c == F.upper(c), F.lower(c)).otherwise(F.upper(c))), "")
 
 
-def _arrow(func: Callable[[str], str], kind: str = "string") -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(func, na_action="ignore")
-
-    return run
+def _each(func: Callable[[str], str], kind: str = "string") -> Callable[[Column], Column]:
+    """A function of Python's strings, a few rows at a time: a worker never holds an Arrow batch of 10,000 whole texts."""
+    return F.udf(lambda s: None if s is None else func(s), kind, useArrow=False)
 
 
 def title(x: Column) -> Column:
-    return _arrow(str.title)(x)
+    return _each(str.title)(x)
 
 
 def casefold(x: Column) -> Column:
-    return _arrow(str.casefold)(x)
+    return _each(str.casefold)(x)
 
 
 def normalize(x: Column, form: str = "NFC") -> Column:
-    return _arrow(lambda s: unicodedata.normalize(form, s))(x)
+    return _each(lambda s: unicodedata.normalize(form, s))(x)
 
 
 def wrap(x: Column, width: int) -> Column:
     import textwrap
 
-    return _arrow(lambda s: "\n".join(textwrap.wrap(s, width)))(x)
+    return _each(lambda s: "\n".join(textwrap.wrap(s, width)))(x)
 
 
 def format_(pattern: str, *args: Column) -> Column:
@@ -119,7 +115,7 @@ def test(x: Column, name: str) -> Column:
     if name == "isupper":
         return (x == F.upper(x)) & (x != F.lower(x))
     if name == "istitle":
-        return _arrow(str.istitle, "boolean")(x)
+        return _each(str.istitle, "boolean")(x)
     return x.rlike(TESTS[name])
 
 
@@ -194,7 +190,7 @@ def replace(x: Column, pat: str, repl: str, n: int = -1, case: bool = True, rege
     import re
 
     compiled = re.compile(pat if regex else re.escape(pat), 0 if case else re.I)
-    return _arrow(lambda s: compiled.sub(repl, s, count=n))(x)
+    return _each(lambda s: compiled.sub(repl, s, count=n))(x)
 
 
 def extract(x: Column, pat: str, groups: int, case: bool = True) -> Column:

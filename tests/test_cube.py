@@ -274,3 +274,14 @@ def test_unicode_string_functions_take_whole_texts(spark, tmp_path):
         t = texts[r["doc_id"]]
         want = (None,) * 5 if t is None else (t.title(), t.casefold(), unicodedata.normalize("NFD", t), "\n".join(textwrap.wrap(t, 20)), t.swapcase())
         assert (r["title"], r["folded"], r["nfd"], r["wrapped"], r["swapped"]) == want
+
+
+def test_unicode_string_functions_hold_no_arrow_batch(spark):
+    from cubeweave.functions import strings as S
+
+    x = F.col("t")
+    out = spark.createDataFrame([("ǆ a",), (None,)], "t string").select(S.title(x).alias("a"), S.casefold(x).alias("b"), S.normalize(x, "NFKD").alias("c"), S.wrap(x, 2).alias("d"))
+    # The few rows of a pickled batch bound what a worker holds; an Arrow batch is 10,000 whole texts.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in out.collect()] == [("ǅ A", "ǆ a", "dz\u030c a", "ǆ\na"), (None,) * 4]
