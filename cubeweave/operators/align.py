@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeweave.cube import AlignmentError, Cube
+from cubeweave.operators.nearest import nearest_points  # noqa: F401
 from cubeweave.ranges import dealt, is_small, kept
 
 
@@ -276,33 +277,3 @@ def combine_by_coords(cubes: Sequence[Cube], dim: str) -> Cube:
     if any(spans[a][1] >= spans[b][0] for a, b in zip(order, order[1:])):
         raise ValueError(f"labels along {dim} overlap")
     return concat([cubes[k] for k in order], dim)
-
-
-def nearest_points(points: DataFrame, targets: DataFrame, coords: Sequence[str], cell: float, point_id: str = "point", target_id: str = "target") -> DataFrame:
-    """Nearest neighbour in several coordinates, by a grid.
-
-    Each target looks into its own cell and those around it; a neighbour at most
-    ``cell`` away is exact.  Targets without one there search again with cells
-    twice as wide.  Targets that lack a coordinate, and all targets where no point
-    has every one, find nothing: their point and distance are missing.
-    """
-    whole = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in coords])
-    points = points.where(whole)
-    none = [F.lit(None).cast(points.schema[point_id].dataType).alias(point_id), F.lit(None).cast("double").alias("distance")]
-    if points.isEmpty():
-        return targets.select(target_id, *none)
-    found, open_ = [targets.where(~whole).select(target_id, *none)], targets.where(whole)
-    sides = [F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])) for _ in coords]
-    while not open_.isEmpty():
-        grid = points.select(F.col(point_id), *[F.col(c).alias(f"p_{c}") for c in coords], *[F.floor(F.col(c) / cell).alias(f"g_{c}") for c in coords])
-        look = open_
-        for c, s in zip(coords, sides):
-            look = look.withColumn(f"o_{c}", s).withColumn(f"g_{c}", F.floor(F.col(c) / cell) + F.col(f"o_{c}")).drop(f"o_{c}")
-        distance = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"p_{c}")) ** 2 for c in coords]))
-        near = look.join(grid, [f"g_{c}" for c in coords]).withColumn("distance", distance).where(F.col("distance") <= cell)
-        # Each round is run once and kept; the next one's plan doesn't hold it again.
-        best = kept(near.groupBy(target_id).agg(F.min(F.struct("distance", point_id)).alias("best")).select(target_id, f"best.{point_id}", "best.distance"))
-        found.append(best)
-        open_ = kept(open_.join(best, target_id, "left_anti"))
-        cell *= 2
-    return reduce(lambda a, b: a.unionByName(b), found)

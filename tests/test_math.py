@@ -62,3 +62,24 @@ def test_nearest_points_ends(spark):
     assert got == {1: (7, 9.0), 2: (None, None)}
     none = A.nearest_points(points.limit(0), targets, ["x", "y"], 1.0).collect()
     assert {(r["target"], r["point"]) for r in none} == {(1, None), (2, None)}
+
+
+def test_nearest_points_compares_with_few_points_however_dense(spark, monkeypatch):
+    from cubeweave.operators import nearest
+
+    r = np.random.default_rng(3)
+    # A cluster far tighter than a cell, points far apart, one vertical line, and repeats.
+    at = np.vstack([r.normal(0, 1e-5, (700, 2)), r.normal(0, 50, (100, 2)), np.column_stack([np.full(100, 3.0), r.normal(0, 1, 100)])])
+    at = np.vstack([at, at[:50]])
+    look = np.vstack([r.normal(0, 1e-5, (300, 2)), r.normal(0, 60, (100, 2)), [[0.0, 1e6], [3.0, 0.0]], np.repeat(at[:1], 60, axis=0)])
+    points = spark.createDataFrame([(int(k), float(x), float(y)) for k, (x, y) in enumerate(at)], "point long, x double, y double")
+    targets = spark.createDataFrame([(int(k), float(x), float(y)) for k, (x, y) in enumerate(look)], "target long, x double, y double")
+    monkeypatch.setattr(nearest, "TILE_POINTS", 16)
+    monkeypatch.setattr(nearest, "CHUNK_TARGETS", 16)
+    got = {row["target"]: (row["point"], row["distance"]) for row in A.nearest_points(points, targets, ["x", "y"], 1.0).collect()}
+    all_ = np.sqrt((look[:, None, 0] - at[None, :, 0]) ** 2 + (look[:, None, 1] - at[None, :, 1]) ** 2)
+    assert got == {k: (int(d.argmin()), float(d.min())) for k, d in enumerate(all_)}
+    tiles = nearest.Tiles(np.arange(16), *[np.array([(i + z, j + z) for i in range(4) for j in range(4)], float) for z in (0, 0.9)], 4)
+    row, tile = tiles.within(np.array([[1.5, 1.5], [9.0, 0.0]]), np.array([0.55, 1.0]))
+    assert sorted(zip(row.tolist(), tile.tolist())) == [(0, 5), (0, 6), (0, 9)]
+    assert tiles.own(np.array([[1.5, 2.5], [9.0, -1.0]])).tolist() == [6, 12]
